@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_dac", "op2_pieces", "op5_langid", "op7_near_duplicates", "op9_topk", "op10_decontaminate"]
+MODULES = ["op1_dac", "op2_pieces", "op3_urlfilter", "op4_warc", "op5_langid", "op6_secrets", "op7_near_duplicates", "op8_pii", "op9_topk", "op10_decontaminate"]
 
 
 def queries() -> dict:
