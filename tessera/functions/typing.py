@@ -65,7 +65,7 @@ def _read(text: str, t: T.DataType) -> Column:
             raise ValueError(text)
         return F.lit(text.lower() == "true")
     if isinstance(t, INTEGERS):
-        return F.lit(int(text)).cast(t)
+        return F.lit(int(Decimal(text))).cast(t)
     if isinstance(t, (T.FloatType, T.DoubleType)):
         return F.lit(float(text)).cast(t)
     if isinstance(t, T.DecimalType):

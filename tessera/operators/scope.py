@@ -153,25 +153,25 @@ class Scope:
     def _const(self, node: Node) -> Column:
         return constant(node)
 
-    def _operands(self, left: Node, right: Node) -> tuple[Column, Column, T.DataType, T.DataType]:
-        """Both sides; a constant is read at the other side's type, so that no cast lands on a member."""
+    def _operands(self, left: Node, right: Node, own: bool = False) -> tuple[Column, Column, T.DataType, T.DataType]:
+        """Both sides; a constant is read at the other side's type, so that no cast lands on a member.
+
+        own: in arithmetic a number keeps its own type, which decides what both are promoted to.
+        """
         if right["$type"] == "const" and left["$type"] != "const":
             a = self.expr(left)
             kind = self.kind(left, a)
-            b = constant(right, self._read_as(left, kind))
-            return a, b, kind, self.kind(right, b) if not self.element else self._const_type(right, kind)
+            wanted = None if own and is_number(kind) and right["tag"] != "Null" else kind
+            return a, constant(right, wanted), kind, self._const_type(right, wanted)
         if left["$type"] == "const" and right["$type"] != "const":
-            b, a, kb, ka = self._operands(right, left)
+            b, a, kb, ka = self._operands(right, left, own)
             return a, b, ka, kb
         a, b = self.expr(left), self.expr(right)
         return a, b, self.kind(left, a), self.kind(right, b)
 
-    def _const_type(self, node: Node, kind: T.DataType) -> T.DataType:
+    def _const_type(self, node: Node, kind: T.DataType | None) -> T.DataType:
         return self.spark.range(0).select(constant(node, kind)).schema[0].dataType
 
-    def _read_as(self, node: Node, kind: T.DataType) -> T.DataType:
-        return kind
-
     def _check_enum(self, left: Node, right: Node) -> None:
         """A constant that is compared with an enum member names one of its values."""
         for a, b in ((left, right), (right, left)):
@@ -194,7 +194,7 @@ class Scope:
             a, b, _, _ = self._operands(left, right)
             same = a.eqNullSafe(b)
             return same if op == "Equal" else ~same
-        a, b, ka, kb = self._operands(left, right)
+        a, b, ka, kb = self._operands(left, right, op in ARITHMETIC or op == "Divide")
         if op in COMPARE:
             return getattr(a, COMPARE[op])(b)
         if op == "Coalesce":
