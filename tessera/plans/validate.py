@@ -94,10 +94,9 @@ class Checker:
             raise WireFormatError("a projection has members")
         names, total = set(), 0
         for name, v in members(x):
-            camel = name[:1].lower() + name[1:]
-            if camel in names:
+            if name.lower() in names:  # Spark's names differ by more than case
                 raise ValidationError(f"{name} is projected twice")
-            names.add(camel)
+            names.add(name.lower())
             _shape(v, VALUES)
             if v["$type"] == "node":
                 total += 1
