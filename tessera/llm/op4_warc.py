@@ -14,7 +14,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     made = derive(pages.select(response_record(F.col("url"), F.col("html"), F.col("page_id")).alias("record")))
     path = scratch(spark, "op4")
-    write_warc(made.select(F.explode(F.array("record", "metadata", "conversion")).alias("value")), path)
+    write_warc(made.select(F.explode(F.array("record", "metadata", "conversion")).alias("value")), path, "gzip")
     rec, block = F.col("record"), block_of(F.col("record"))
     names = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "concurrent_to": "WARC-Concurrent-To", "source_digest": "WARC-Source-Payload-Digest", "block_digest": "WARC-Block-Digest"}
     back = read_warc(spark, path)

@@ -13,7 +13,7 @@ WARC-Refers-To-Date); the conversion is WARC-Concurrent-To its metadata; WARC-Bl
 WARC-Source-Payload-Digest carries the response's payload digest. Digests are sha256, hexadecimal. Record ids are
 UUIDs (version 8 form) from a digest of what identifies the record, so a lost task writes the same ids again.
 
-Defined results: null or empty HTML gives an empty payload and an empty conversion; a null URL an empty target
+Defined results: null or empty HTML gives an empty payload and an empty conversion; a null or empty URL no target
 URI; CR LF within header values becomes a space; rows with one page_id and equal content have equal record ids.
 """
 
@@ -57,11 +57,9 @@ def record(headers: Column, block: Column) -> Column:
 
 
 def header(record_or_head: Column, name: str) -> Column:
-    """A field's value in the named-field block at the start; null if it is not there."""
+    """A field's value in the named-field block at the start; null if it is empty or not there."""
     head = F.substring_index(record_or_head, END, 1)
-    found = F.regexp_extract(head, rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1)
-    there = F.regexp_like(head, F.lit(rf"(?i)(?:^|\r\n){name}:"))
-    return F.when(there, found)
+    return F.nullif(F.regexp_extract(head, rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
 def _written(rec: Column) -> Column:
@@ -78,7 +76,7 @@ def response_record(url: Column, html: Column, key: Column, date: str = DATE) ->
     body = F.coalesce(html, F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END), body)
     head = fields(
-        ("WARC-Type", F.lit("response")), ("WARC-Record-ID", record_id(F.lit("response"), key, url, body)), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", one_line(url)),
+        ("WARC-Type", F.lit("response")), ("WARC-Record-ID", record_id(F.lit("response"), key, url, body)), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.nullif(one_line(url), F.lit(""))),
         ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(http)), ("Content-Type", F.lit("application/http; msgtype=response")),
     )
     return record(head, http)
@@ -86,14 +84,16 @@ def response_record(url: Column, html: Column, key: Column, date: str = DATE) ->
 
 def plain_text(html: Column) -> Column:
     """Text of HTML: no comments, scripts, styles or tags; block ends are line ends; entities resolved; blanks folded."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head)\b[^>]*>.*?</(script|style|head)\s*>", " ")
-    t = F.regexp_replace(t, r"(?i)<(br|/p|/div|/h[1-6]|/li|/tr|/article|/nav|/footer|/title)\b[^>]*>|<p\b[^>]*>", "\n")
+    t = F.regexp_replace(html, r"(?s)<(?:!--.*?-->|(?i:(script|style|head)\b[^>]*>.*?</\1\s*>))", " ")
+    t = F.regexp_replace(t, r"<(?i:/?(?:br|p|div|h[1-6]|li|tr|article|nav|footer|title)\b)[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
+    whole = t
     for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("middot", "·"), ("copy", "©"), ("amp", "&")):
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(sign))
-    t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
-    t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+        whole = F.replace(whole, F.lit(f"&{name};"), F.lit(sign))
+    t = F.when(F.contains(t, F.lit("&")), whole).otherwise(t)
+    t = F.regexp_replace(t, r"[ \t\r\f]{2,}|[\t\r\f]", " ")
+    t = F.regexp_replace(t, r"(?: \n|\n )[ \n]*|\n{2,}[ \n]*", "\n")
+    return F.btrim(t, F.lit(" \n"))
 
 
 def derive(responses: DataFrame, record_col: str = "record") -> DataFrame:
