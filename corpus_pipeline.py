@@ -14,7 +14,7 @@ from tessera.llm.common import materialise, table
 from tessera.llm.containment import find_items
 from tessera.llm.forest import near_duplicates
 from tessera.llm.langid import predict, train
-from tessera.llm.pieces import decode_pieces, sample_pieces
+from tessera.llm.pieces import with_pieces
 from tessera.llm.secrets import mask_secrets
 
 #: A text whose language is less sure than this is rejected, as is one without letters.
@@ -56,9 +56,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's sampled piece ids, and that they decode to its text."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    drawn = docs.select("doc_id", "lang", "source", "text", sample_pieces(F.col("doc_id"), F.col("text"), path).alias("ids"))
-    return drawn.select("doc_id", "lang", "source", F.size("ids").alias("n_pieces"), "ids", decode_pieces(F.col("ids"), path).eqNullSafe(F.col("text")).alias("lossless"))
+    known = docs.select("doc_id", *[c for c in ("lang", "source") if c in docs.columns], "text")
+    drawn = with_pieces(known, public_tokenizers.path("piece_bpe_32k.model"))
+    return drawn.drop("text").withColumn("n_pieces", F.size("ids"))
 
 
 STAGES = [("language", language), ("deduplicate", deduplicate), ("decontaminate", decontaminate), ("secrets", secrets), ("encode", encode)]

@@ -7,14 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.pieces import decode_pieces, sample_pieces
+from tessera.llm.pieces import with_pieces
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    drawn = docs.withColumn("ids", sample_pieces(F.col("doc_id"), F.col("text"), path))
-    return drawn.select("doc_id", F.size("ids").alias("n_pieces"), "ids", decode_pieces(F.col("ids"), path).eqNullSafe(F.col("text")).alias("lossless"))
+    drawn = with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return drawn.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "lossless")
 
 
 QUERIES = {"op2_pieces": op2_pieces}

@@ -22,8 +22,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import Slots, gather, mix64, sums
 from tessera.llm.lattice import Pieces, build, forward
@@ -32,17 +35,58 @@ META = "▁"
 #: Text between places where a lattice falls apart: spaces and what follows, and line ends, which no piece holds.
 UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 OFFSET, SURE = 3.0, -30.0
-REMEMBERED, TOGETHER = 300_000, 256
+REMEMBERED, LEARNT, TOGETHER = 250_000, 20_000, 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.data, self.size = np.zeros(1 << 12, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        end = self.size + len(more)
+        if end > len(self.data):
+            grown = np.empty(max(end, len(self.data) * 3 // 2), self.data.dtype)
+            grown[: self.size] = self.data[: self.size]
+            self.data = grown
+        self.data[self.size : end] = more
+        self.size = end
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.data[: self.size]
+
+
+def split_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """A code for each unit, offsets by text, and the units behind the codes; one of them may be empty.
+
+    Single spaces and line ends part units by Arrow's functions; texts with runs of spaces go by UNITS.
+    """
+    texts = texts.fill_null("")
+    mark = next((chr(c) for c in (*range(9), 0xFDD0, 0xFDD1) if not pc.any(pc.match_substring(texts, chr(c))).as_py()), None)
+    begun = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+    runs = pc.match_substring(begun, "  ").to_numpy(zero_copy_only=False)
+    if mark is None:
+        lists = pa.array([UNITS.findall(t) for t in begun.to_pylist()], pa.list_(pa.string()))
+    else:
+        parted = pc.replace_substring(pc.replace_substring(begun, " ", mark + " "), "\n", mark + "\n" + mark)
+        if runs.any():
+            own = [mark.join(UNITS.findall(begun[int(i)].as_py())) for i in np.flatnonzero(runs)]
+            parted = pc.replace_with_mask(parted, pa.array(runs), pa.array(own, pa.string()))
+        lists = pc.split_pattern(parted, mark)
+    first, offsets = lists.offsets[0].as_py(), lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), offsets - first, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 class Sampler:
     """Samples segmentations; remembers the lattices of up to REMEMBERED units."""
 
     def __init__(self, path: str, temperature: float) -> None:
         self.pieces = Pieces.shared(path)
         self.logw = -temperature * np.log(np.arange(len(self.pieces.ids)) + OFFSET)
-        self.meta = [i for i, t in enumerate(self.pieces.text) if t == META][0]
         self.forget()
 
     @staticmethod
@@ -52,11 +96,10 @@ class Sampler:
 
     def forget(self) -> None:
         self.slots = Slots()
-        self.last = np.zeros(0, np.int64)  # end node of each unit
-        self.first = np.zeros(0, np.int64)
-        self.keys = np.zeros(0, np.uint64)  # end node and upper bound of the share, of each edge
-        self.code = np.zeros(0, np.int32)  # piece id, or -1 - code point
-        self.span = np.zeros(0, np.int32)
+        self.first, self.last = Growing(np.int64), Growing(np.int64)  # start and end node of each unit
+        self.keys = Growing(np.uint64)  # end node and upper bound of the share, of each edge
+        self.code = Growing(np.int32)  # piece id, or -1 - code point
+        self.span = Growing(np.uint8)
         self.count = 0
 
     def _learn(self, units: list[str]) -> None:
@@ -75,49 +118,46 @@ class Sampler:
         bound[np.append(at[1:], len(end)) - 1] = 2**32 - 1  # the last edge of a node takes what rounding left
         point = np.where(lattice.point == 0x10FFFF, ord(META), lattice.point)
         code = np.where(lattice.piece >= 0, self.pieces.ids[np.maximum(lattice.piece, 0)], -1 - point)[order]
-        node = (end + self.count).astype(np.uint64)
-        self.keys = np.concatenate([self.keys, node << np.uint64(32) | bound])
-        self.code = np.concatenate([self.code, code.astype(np.int32)])
-        self.span = np.concatenate([self.span, (lattice.end - lattice.start)[order].astype(np.int32)])
-        self.first = np.concatenate([self.first, lattice.base + self.count])
-        self.last = np.concatenate([self.last, lattice.base + lattice.length + self.count])
+        self.keys.extend((end + self.count).astype(np.uint64) << np.uint64(32) | bound)
+        self.code.extend(code)
+        self.span.extend((lattice.end - lattice.start)[order])
+        self.first.extend(lattice.base + self.count)
+        self.last.extend(lattice.base + lattice.length + self.count)
         self.count += lattice.nodes
 
-    def encode(self, keys: np.ndarray, texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, keys: np.ndarray, texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of the texts one after the other, and how many each has."""
         if len(self.slots) > REMEMBERED:
             self.forget()
+        codes, offsets, units = split_units(texts)
         slots = self.slots
-        counts, at = [], []
-        for text in texts:
-            units = UNITS.findall(" " + text) if text else []
-            counts.append(len(units))
-            at += [slots[u] for u in units]
-        if slots.new:
-            self._learn(slots.new)
-            slots.new.clear()
-        unit, counts = np.array(at, np.int64), np.array(counts, np.int64)
+        at = np.fromiter((slots[u] for u in units), np.int64, len(units))
+        for lo in range(0, len(slots.new), LEARNT):
+            self._learn(slots.new[lo : lo + LEARNT])
+        slots.new.clear()
+        counts = np.diff(offsets)
+        unit = at[codes] if len(codes) else np.zeros(0, np.int64)
         place = gather(np.zeros(len(counts), np.int64), counts).astype(np.uint64)
         stream = mix64(np.repeat(mix64(keys.astype(np.int64).view(np.uint64) ^ mix64(np.uint64([seed]) + _GOLD)), counts) + place * _GOLD)
-        node, stop = self.last[unit], self.first[unit]
-        who = np.arange(len(unit))
+        who = np.argsort(unit)  # neighbours in the table are drawn together
+        who = who[self.last.all[unit[who]] > self.first.all[unit[who]]]
+        node, stop, stream = self.last.all[unit[who]], self.first.all[unit[who]], stream[who]
+        edges, code, span = self.keys.all, self.code.all, self.span.all
         steps: list[tuple[np.ndarray, np.ndarray]] = []
+        drawn = np.zeros(len(unit), np.int64)
         while len(who):
             stream = mix64(stream + _GOLD)
-            edge = np.searchsorted(self.keys, node.astype(np.uint64) << np.uint64(32) | stream >> np.uint64(32))
-            steps.append((who, self.code[edge]))
-            node = node - self.span[edge]
+            edge = np.searchsorted(edges, node.astype(np.uint64) << np.uint64(32) | stream >> np.uint64(32))
+            steps.append((who, code[edge]))
+            drawn[who] += 1
+            node = node - span[edge]
             live = node > stop
             who, node, stop, stream = who[live], node[live], stop[live], stream[live]
-        drawn = np.zeros(len(unit), np.int64)
-        for w, _ in steps:
-            drawn[w] += 1
         ends = np.cumsum(drawn)
-        codes = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
         for k, (w, c) in enumerate(steps):
-            codes[ends[w] - 1 - k] = c
-        per_text = sums(drawn, np.concatenate([[0], np.cumsum(counts)]))
-        return self._bytes(codes, per_text)
+            out[ends[w] - 1 - k] = c
+        return self._bytes(out, sums(drawn, offsets))
 
     def _bytes(self, codes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points without a piece become byte pieces."""
@@ -153,22 +193,24 @@ class Decoder:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-def sample_pieces(key: Column, text: Column, path: str, seed: int = 0, temperature: float = 1.0) -> Column:
-    """array<int>: a sampled segmentation of the whole text."""
-
-    @F.pandas_udf("array<int>")
-    def draw(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        sampler = Sampler.shared(path, temperature)
-        for keys, texts in batches:
-            out: list[np.ndarray | None] = []
-            for lo in range(0, len(texts), TOGETHER):
-                own = texts.iloc[lo : lo + TOGETHER].tolist()
-                ids, counts = sampler.encode(keys.iloc[lo : lo + TOGETHER].to_numpy(np.int64), [t or "" for t in own], seed)
-                parts = np.split(ids, np.cumsum(counts)[:-1])
-                out += [None if t is None else p for t, p in zip(own, parts, strict=True)]
-            yield pd.Series(out, dtype=object)
-
-    return draw(F.coalesce(key.cast("long"), F.lit(0).cast("long")), text)
+def with_pieces(df: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", lossless_col: str = "lossless", seed: int = 0, temperature: float = 1.0) -> DataFrame:
+    """Adds a sampled segmentation of each whole text, array<int>, and whether it decodes to the text."""
+    schema = T.StructType([*df.schema, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(lossless_col, T.BooleanType())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, decoder = Sampler.shared(path, temperature), Decoder.shared(path)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(lo, TOGETHER)
+                texts = batch.column(text_col)
+                keys = batch.column(key_col).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+                ids, counts = sampler.encode(keys, texts, seed)
+                ends = np.cumsum(counts)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
+                back = [None if t is None else decoder.decode(ids[a:b].tolist()) == t for t, a, b in zip(texts.to_pylist(), ends - counts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(back, pa.bool_())], [*batch.schema.names, ids_col, lossless_col])
+
+    return df.mapInArrow(draw, schema)
 
 
 def decode_pieces(ids: Column, path: str) -> Column:
