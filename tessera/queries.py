@@ -12,6 +12,7 @@ from tessera.plans.nodes import agg, ask, case, element, key, keys, m
 from tessera.query import Query, collection, nested, source
 from tessera.sources.catalog import Policy
 from tessera.sources.tpch import catalog
+from tessera.streaming.live import Hub
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +170,32 @@ def _policy_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"policy_root": _policy_root, "policy_link": _policy_link}
 ORACLES["policy_root"] = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'"
 ORACLES["policy_link"] = "SELECT o_orderkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_name END AS name FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three independent answers of one batch, one of them refused."""
+    engine = Engine(spark, catalog(sf_dir))
+    asked = [orders.count().request(), orders.take(5).request(), customer.aggregate("Max", m("c_acctbal")).request()]
+    out = [(i, str(x["ok"]["value"]) if "ok" in x else x["error"]) for i, x in enumerate(engine.batch(asked))]
+    return spark.createDataFrame(out, "entry int, answer string")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as a caller receives them, between the markers."""
+    engine = Engine(spark, catalog(sf_dir))
+    parts = list(engine.stream(nation.where(m("n_regionkey") == 1).select("n_nationkey", "n_name").request()))
+    return spark.createDataFrame([tuple(p["row"].values()) for p in parts if "row" in p], "n_nationkey int, n_name string")
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first answer of a subscription."""
+    live = Hub(Engine(spark, catalog(sf_dir))).subscribe(events.where(m("event_type") == "purchase").count(long=True).request())
+    value = next(live)["result"]["value"]
+    live.close()
+    return spark.createDataFrame([(value,)], "value long")
+
+
+QUERIES |= {"batch": _batch, "stream": _stream, "live": _live}
+ORACLES["batch"] = "SELECT 0 AS entry, CAST(count(*) AS VARCHAR) AS answer FROM orders UNION ALL SELECT 1, 'Validation' UNION ALL SELECT 2, CAST(max(c_acctbal) AS VARCHAR) FROM customer"
+ORACLES["stream"] = "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1"
+ORACLES["live"] = "SELECT count(*) AS value FROM events WHERE event_type = 'purchase'"
