@@ -90,6 +90,7 @@ def projected(rows: Rows) -> None:
         names = [*scope.source.scalars, *scope.source.capabilities]
         rows._columns = [scope.member(n).alias(n) for n in names]
     else:
+        scope.prepare(rows.projection)
         rows._columns = [value_column(scope, v).alias(n) for n, v in members(rows.projection)]
 
 
@@ -115,6 +116,7 @@ def where(rows: Rows, op: Node) -> None:
         rows.group.having.append(predicate)
         return
     scope = rows.scope
+    scope.prepare(predicate)
     for part in conjuncts(predicate):
         negated = part["$type"] == "unary" and part["op"] == "Not" and part["operand"]["$type"] == "inSource"
         if part["$type"] == "inSource" or negated:  # a semi or anti join, with no flag column

@@ -324,28 +324,43 @@ class Scope:
             return F.when(F.size(values) > 0, total.cast("double") / F.size(values))
         raise ValidationError(f"no question {fn}")
 
-    def _ask_rows(self, node: Node, children: Children) -> Column:
-        name = self.answers.get(key_of(node))
-        fn = node["function"]
-        if name is None:
-            child = self.open(children.target)
-            keep = child.condition(node["predicate"]) if node.get("predicate") else None
-            keep = F.coalesce(keep, F.lit(False)) if keep is not None else None
-            if keep is not None and fn != "All":
+    def prepare(self, part: object) -> None:
+        """Answers all questions of an operator about the same child rows by one aggregation and one join."""
+        by_path: dict[str, list[Node]] = {}
+        for node in questions(part):
+            names = segments(node["path"])
+            if not self.element and not self.group and len(names) == 1 and names[0] in self.source.children and key_of(node) not in self.answers:
+                by_path.setdefault(names[0], []).append(node)
+        for name, nodes in by_path.items():
+            self._answer(list({key_of(n): n for n in nodes}.values()), self.source.children[name])
+
+    def _answer(self, nodes: list[Node], children: Children) -> None:
+        child, made, first = self.open(children.target), [], f"__q{len(self.answers)}"
+        for node in nodes:
+            fn = node["function"]
+            keep = F.coalesce(child.condition(node["predicate"]), F.lit(False)) if node.get("predicate") else None
+            if keep is not None and fn != "All" and len(nodes) == 1:  # alone, its filter reaches the scan
                 child.df = child.df.where(keep)
+                keep = None
             picked = child.value(node["selector"]) if node.get("selector") else None
             if fn in ("Sum", "Average") and (picked is None or not is_number(child.type_of(picked))):
                 raise ValidationError(f"{fn} needs numbers")
-            if fn not in ("Any", "All", "Count") and picked is None:
+            if fn in ("Min", "Max") and picked is None:
                 raise ValidationError(f"{fn} needs a selector")
-            made = {"Any": lambda: F.count("*") > 0, "All": lambda: F.bool_and(keep), "Count": lambda: F.count("*"), "Sum": lambda: F.sum(picked), "Average": lambda: F.avg(picked), "Min": lambda: F.min(picked), "Max": lambda: F.max(picked)}.get(fn)
-            if made is None:
+            kept = lambda c, k=keep: c if k is None else F.when(k, c)
+            column = {"Any": lambda: F.count(kept(F.lit(1))) > 0, "All": lambda: F.bool_and(keep), "Count": lambda: F.count(kept(F.lit(1))), "Sum": lambda: F.sum(kept(picked)), "Average": lambda: F.avg(kept(picked)), "Min": lambda: F.min(kept(picked)), "Max": lambda: F.max(kept(picked))}.get(fn)
+            if column is None:
                 raise ValidationError(f"no question {fn}")
             name = self.answers[key_of(node)] = f"__q{len(self.answers)}"
-            grouped = child.df.groupBy(*[exact(child.df, c).alias(f"{name}_{i}") for i, c in enumerate(children.columns)]).agg(made().alias(name))
-            self._attach(grouped, name, children)
-        empty = {"Any": False, "All": True, "Count": 0, "Sum": 0}.get(fn)
-        column = F.col(name)
+            made.append(column().alias(name))
+        grouped = child.df.groupBy(*[exact(child.df, c).alias(f"{first}_{i}") for i, c in enumerate(children.columns)]).agg(*made)
+        self._attach(grouped, first, children)
+
+    def _ask_rows(self, node: Node, children: Children) -> Column:
+        if key_of(node) not in self.answers:
+            self._answer([node], children)
+        column = F.col(self.answers[key_of(node)])
+        empty = {"Any": False, "All": True, "Count": 0, "Sum": 0}.get(node["function"])
         return column if empty is None else F.coalesce(column, F.lit(empty).cast(self.type_of(column)))
 
     def _attach(self, grouped: DataFrame, name: str, children: Children) -> None:
@@ -388,6 +403,15 @@ class Scope:
         return F.coalesce(F.col(name), F.array())
 
 
+def questions(part: object) -> list[Node]:
+    """The questions in a part of a request that are about its own rows."""
+    if isinstance(part, list):
+        return [q for x in part for q in questions(x)]
+    if not isinstance(part, dict) or part.get("$type") in ("inSource", "collection", "aggregate"):
+        return []
+    return [part] if part.get("$type") == "subquery" else [q for x in part.values() for q in questions(x)]
+
+
 def members(projection: Node) -> list[tuple[str, Node]]:
     """(name, value) of a projection; a bare name stands for the member of that name."""
     return [(x, {"$type": "node", "node": {"$type": "member", "path": x}}) if isinstance(x, str) else (x["name"], x["value"]) for x in projection["members"]]
