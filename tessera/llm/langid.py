@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 from pathlib import PurePath
 
 import numpy as np
@@ -33,7 +32,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Added to each piece's expected count, and the log probability of a code point outside the vocabulary.
 SMOOTH, OTHER = 0.05, -16.0
 #: Words that a worker remembers, and texts that are scored at once.
-REMEMBERED, TOGETHER = 400_000, 512
+REMEMBERED, LEARNT, TOGETHER = 300_000, 20_000, 256
 
 
 class Model:
@@ -50,8 +49,11 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """log probability of each word in each language, one row a word."""
-        lattice = build(["▁" + w for w in words], Pieces.shared(self.path, True))
-        return forward(lattice, self.weights(lattice))[lattice.base + lattice.length]
+        out = np.zeros((len(words), len(self.langs)))
+        for lo in range(0, len(words), LEARNT):
+            lattice = build(["▁" + w for w in words[lo : lo + LEARNT]], Pieces.shared(self.path, True))
+            out[lo : lo + LEARNT] = forward(lattice, self.weights(lattice))[lattice.base + lattice.length]
+        return out
 
 
 class Scorer:
@@ -61,17 +63,14 @@ class Scorer:
         self.model = model
         self.forget()
 
-    @staticmethod
-    @cache
-    def _by_key(key: int) -> list[Scorer]:
-        return []
+    _held: Scorer | None = None
 
     @classmethod
     def shared(cls, model: Model) -> Scorer:
-        held = cls._by_key(model.key)
-        if not held:
-            held.append(cls(model))
-        return held[0]
+        """The worker's one scorer; another model's takes its place."""
+        if cls._held is None or cls._held.model.key != model.key:
+            cls._held = cls(model)
+        return cls._held
 
     def forget(self) -> None:
         self.slots, self.rows = Slots(), np.zeros((1 << 16, len(self.model.langs) + 1))
