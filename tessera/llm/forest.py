@@ -170,16 +170,21 @@ def _sized(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, na, nb) with den * intersection >= num * union, on full sets of only those nodes that are asked for."""
-    pairs = materialise(pairs.select("a", "b", "na", "nb"), "forest-pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _read_sets(asked: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """node, shingles: the full sets of the nodes that are asked for."""
     asked = materialise(asked.join(nodes, "node").select("node", "doc_id"), "forest-asked")
     ids = asked.select("doc_id").distinct()
     # An inner join, for the optimizer moves a semi join below that with the bitmap.
     read = _likely(texts, ids).join(ids, "doc_id").select("text").mapInArrow(_sets(width), "set_key binary, shingles array<long>")
     sets = read.select(F.xxhash64("set_key").alias("node"), "shingles").join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(sets, "forest-sets")
+    return materialise(sets, "forest-sets")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, na, nb) with den * intersection >= num * union, on full sets of only those nodes that are asked for."""
+    pairs = materialise(pairs.select("a", "b", "na", "nb"), "forest-pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _read_sets(asked, nodes, texts, width)
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -274,28 +279,133 @@ def _pairs_across(rows: DataFrame, about: DataFrame, num: int, den: int, wide: i
     return few.select("g").mapInArrow(_close(num, den, wide), _PAIRS)
 
 
-def _crowded(open_nodes: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, num: int, den: int, trees: int, crowd: int) -> DataFrame:
-    """Candidates among nodes of crowded regions, by a forest of their own."""
+def _shared(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many values each sorted set on the left has in common with each on the right."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    row = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(common):
+        return out
+    place = [np.minimum(np.searchsorted(common, x), len(common) - 1) for x in flat]
+    known = [common[at] == x for at, x in zip(place, flat, strict=True)]
+    for lo in range(0, len(common), columns):
+        dense = []
+        for n, r, at, ok in zip((len(left), len(right)), row, place, known, strict=True):
+            ok = ok & (at >= lo) & (at < lo + columns)
+            m = np.zeros((n, min(columns, len(common) - lo)), np.float32)
+            m[r[ok], at[ok] - lo] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _links_between(num: int, den: int, tile: int = 256):
+    """Two blocks of nodes with their full sets, or one block -> links across components, as many as join these."""
+
+    def run(group: pa.Table) -> pa.Table:
+        side, node, comp = (group.column(c).to_numpy() for c in ("side", "node", "comp"))
+        lists = group.column("shingles").combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        size, comp, out = np.diff(ends), np.unique(comp, return_inverse=True)[1], []
+        parts = []
+        for s in (0, 1):
+            own = np.nonzero(side == s)[0]
+            own = own[np.argsort(comp[own], kind="stable")]
+            parts.append([own[lo : lo + tile] for lo in range(0, len(own), tile)])
+        sets = lambda rows: [flat[ends[i] : ends[i + 1]] for i in rows]
+        for k, x in enumerate(parts[0]):
+            for y in parts[1] or parts[0][k:]:
+                if (comp[x] == comp[x[0]]).all() and (comp[y] == comp[x[0]]).all():
+                    continue
+                shared = _shared(sets(x), sets(y))
+                i, j = np.nonzero((shared * den >= (size[x][:, None] + size[y][None, :] - shared) * num) & (comp[x][:, None] != comp[y][None, :]))
+                i, j = x[i], y[j]
+                ends_of = np.sort(np.stack([comp[i], comp[j]], axis=1), axis=1)
+                parent: dict[int, int] = {}
+
+                def find(c: int) -> int:
+                    while (up := parent.get(c, c)) != c:
+                        parent[c] = parent.get(up, up)
+                        c = up
+                    return c
+
+                for (c, d), at in zip(*(v.tolist() for v in np.unique(ends_of, axis=0, return_index=True)), strict=True):
+                    c, d = find(c), find(d)
+                    if c != d:
+                        parent[max(c, d)] = min(c, d)
+                        out.append(sorted((int(node[i[at]]), int(node[j[at]]))))
+                if parent:
+                    root = np.arange(comp.max() + 1)
+                    for c in parent:
+                        root[c] = find(c)
+                    comp = root[comp]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+#: Nodes and shingles of a block, of which two are compared at once.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
+
+
+def _exact(rows: DataFrame, comps: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links that join all components with linked nodes in one region; rows: key, node of crowded regions.
+
+    Regions with common nodes make a family. A family is dealt into blocks by set size, and every two blocks whose
+    sizes allow a link are compared on full sets, but for those that lie wholly within one component.
+    """
+    placed = rows.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    here = _mixed(materialise(placed, "forest-left"), "key")
+    least = materialise(here.groupBy("key").agg(F.min("node").alias("a")), "forest-heads")
+    family = components(here.join(least, "key").select("a", F.col("node").alias("b")), "forest-family").withColumnRenamed("component", "family")
+    # Sets that may be linked are in one band or in neighbouring ones.
+    band = F.floor(F.log("n_shingles") / F.lit(math.log(den / num) + 1e-4))
+    known = family.join(here.select("node", "comp").distinct(), "node").join(nodes.select("node", "n_shingles"), "node").withColumn("band", band)
+    known = materialise(known, "forest-bands")
+    large = known.groupBy("family", "band", "comp").count().where(F.col("count") >= BLOCK).select("family", "band", "comp", F.col("comp").alias("own"))
+    known = materialise(known.join(large, ["family", "band", "comp"], "left"), "forest-owned")
+    group = F.xxhash64("family", "band", F.coalesce("own", F.lit(0)), F.col("own").isNull())
+    known = known.withColumn("group", group)
+    parts = known.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
+    dealt = known.join(parts, "group").withColumn("block", F.xxhash64("group", F.pmod(F.xxhash64("node"), "parts")))
+    dealt = materialise(dealt.select("family", "band", "own", "block", "node", "comp"), "forest-dealt")
+    blocks = materialise(dealt.select("family", "band", "own", "block").distinct(), "forest-blocks")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    order = (F.col("y.band") == F.col("x.band") + 1) | (F.col("y.band") == F.col("x.band")) & (F.col("x.block") <= F.col("y.block"))
+    both = x.join(y, (F.col("x.family") == F.col("y.family")) & order).where(~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
+    both = materialise(both.select(F.col("x.block").alias("x"), F.col("y.block").alias("y")), "forest-meetings")
+    meets = both.select("x", "y", F.col("x").alias("block"), F.lit(0).alias("side")).union(both.where("x != y").select("x", "y", F.col("y").alias("block"), F.lit(1).alias("side")))
+    sets = _read_sets(dealt.select("node"), nodes, texts, width)
+    full = dealt.select("block", "node", "comp").join(sets, "node").join(meets, "block")
+    links = full.select("x", "y", "side", "node", "comp", "shingles").groupBy("x", "y").applyInArrow(_links_between(num, den), "a long, b long")
+    return materialise(links, "forest-links")
+
+
+def _crowded(open_nodes: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, num: int, den: int, trees: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates among nodes of crowded regions, by a forest of their own; key, node of what is crowded there too."""
     asked = materialise(open_nodes.join(nodes.select("node", "doc_id"), "node"), "forest-crowd")
     ids = asked.select("doc_id").distinct()
     again = _likely(texts, ids).join(ids, "doc_id").select("doc_id", "text").mapInArrow(_describe(width, trees * DEEP, WIDE, 2), _DESCRIBED)
     signed = again.where("set_key IS NOT NULL").select(F.xxhash64("set_key").alias("node"), "n_shingles", "sig", "sketch").dropDuplicates(["node"])
     signed = materialise(signed.join(asked.select("node", "comp"), "node"), "forest-signed")
     keys = signed.select("node", "comp", "sig").mapInArrow(_prefixes(trees, DEEP, DEEPER, ("node", "comp")), "node long, comp long, tree int, " + ", ".join(f"k{x} long" for x in DEEPER))
-    rows, out = materialise(keys, "forest-deep"), None
+    rows, out, left = materialise(keys, "forest-deep"), None, None
     for level in DEEPER:
         here = _mixed(rows, f"k{level}")
         pairs = _pairs_across(here.where(F.col("n") <= crowd), signed, num, den, WIDE)
         out = pairs if out is None else out.union(pairs)
-        rows = here.where(F.col("n") > crowd).drop("n", "key")
+        rows = here.where(F.col("n") > crowd)
+        left = rows.select("key", "node") if left is None else left
+        rows = rows.drop("n", "key")
         if rows.isEmpty():
-            return out
+            return out, left
     deep = rows.withColumn("key", F.col(f"k{DEEPER[-1]}")).join(signed.select("node", "n_shingles", "sig"), "node")
     at = F.col("tree") * (4 * DEEP)
     rotated = F.concat(F.substring("sig", at + 1, F.lit(4 * DEEP * trees)), F.substring("sig", F.lit(1), at))
     deep = deep.select("tree", "key", "node", "n_shingles", "comp", rotated.alias("order"))
     near = deep.repartitionByRange("tree", "key", "order", "node").sortWithinPartitions("tree", "key", "order", "node").select("key", "node", "n_shingles", "comp").mapInArrow(_neighbours, _PAIRS)
-    return out.union(near.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    return out.union(near.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)), left
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", miss: float = 1e-6, crowd: int = 100) -> DataFrame:
@@ -327,8 +437,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     mixed = _mixed(materialise(placed, "forest-placed"), f"k{DEPTH}")
     more = _pairs_across(mixed.where(F.col("n") <= crowd), nodes, num, den)
     crowds = materialise(mixed.where(F.col("n") > crowd).select("node", "comp").distinct(), "forest-crowds")
+    left = None
     if not crowds.isEmpty():
-        more = more.union(_crowded(crowds, nodes, texts, width, num, den, trees_for(num, den, miss, DEEP), crowd))
+        pairs, left = _crowded(crowds, nodes, texts, width, num, den, trees_for(num, den, miss, DEEP), crowd)
+        more = more.union(pairs)
     more = more.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("alike").alias("alike"))
     more = materialise(more.join(tries, ["a", "b"], "left_anti"), "forest-tries")
     best = [more.groupBy(c).agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("alike", "a", "b")).alias("p")).select("p.*") for c in "ab"]
@@ -336,6 +448,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     found = _verified(best, nodes, texts, width, num, den)
     if not found.isEmpty():
         comps = materialise(_merged(comps, found), "forest-comps")
+    if left is not None and not left.isEmpty():
+        found = _exact(left, comps, nodes, texts, width, num, den)
+        if not found.isEmpty():
+            comps = materialise(_merged(comps, found), "forest-comps")
     of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = more.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     found = _verified(rest.join(best, ["a", "b"], "left_anti"), nodes, texts, width, num, den)

@@ -2,10 +2,10 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
-
+from itertools import combinations
 
 from tessera.llm import forest
-from tessera.llm.common import table
+from tessera.llm.common import materialise, table
 from tessera.llm.forest import components, near_duplicates, shingle_sets
 from tessera.llm.op7_near_duplicates import op7_near_duplicates
 
@@ -76,6 +76,37 @@ def test_crowded_regions_and_chains(spark, words, documents):
     check(near_duplicates(df), docs, 5, 80, 100)
 
 
+def test_links_left_in_crowded_regions(spark, documents, monkeypatch):
+    """One template; two texts just reach the threshold if they replace almost the same words, and no other two do.
+
+    No forest is asked: what it leaves as crowded is compared whole, here in many blocks.
+    """
+    docs, rng = [], random.Random(8)
+
+    def varied(name, places):
+        out = [f"t{k}" for k in range(200)]
+        for at in places:
+            out[at : at + 2] = f"{name}x{at}", f"{name}y{at}"
+        return " ".join(out)
+
+    for i, places in enumerate(rng.sample(list(combinations(range(8, 190, 10), 3)), 150)):
+        docs.append((i, varied(f"a{i}", places)))
+        if i < 30:
+            docs.append((1000 + i, varied(f"b{i}", [at + 1 for at in places])))
+    want = brute(docs, 5, 80, 100)
+    assert sum(c != i for i, (_, c) in want.items()) == 30
+    monkeypatch.setattr(forest, "BLOCK", 40)
+    texts = documents(docs, edges=False).select("doc_id", "text")
+    nodes = materialise(texts.mapInArrow(forest._describe(5, 8), forest._DESCRIBED).selectExpr("xxhash64(set_key) AS node", "doc_id", "n_shingles"), "nodes")
+    rows = nodes.selectExpr("1L AS key", "node").union(nodes.where("doc_id < 1010").selectExpr("2L", "node"))
+    ids = {r.node: r.doc_id for r in nodes.collect()}
+    # Fifty texts are one component already, of more nodes than a block.
+    joined = {n: min(n for n, i in ids.items() if 50 <= i < 100) for n, i in ids.items() if 50 <= i < 100}
+    comps = spark.createDataFrame(list(joined.items()), "node long, component long")
+    links = forest._exact(rows, comps, nodes, texts, 5, 80, 100).collect()
+    assert sorted(tuple(sorted((ids[r.a], ids[r.b]))) for r in links) == sorted((c, i) for i, (_, c) in want.items() if c != i)
+
+
 def test_edges(spark, documents):
     rows = near_duplicates(documents(), 3, 85, 100).collect()
     by = defaultdict(list)
