@@ -10,12 +10,13 @@ with a common prefix form a region. Candidates come from regions as deep as thei
    large group of near copies costs two tries a node; what this misses is left to the next step.
 3. Regions at DEPTH that still hold several components: all pairs across components if they have at most `crowd`
    nodes. Nodes of larger ones get a second forest of their own, whose trees begin at DEEP, with as many trees as
-   keep the chance of a miss; its regions are descended (DEEPER) until they have at most `crowd` nodes. What is
-   still larger at the last depth is sorted by its rotated signature, and nodes are tried with their neighbours of
-   longest common prefix, in the range partitions of one global sort.
+   keep the chance of a miss; all pairs again in its regions of at most `crowd` nodes.
+4. Regions of the second forest that are larger, and still hold several components after step 3's likeliest links,
+   are compared whole: see `_exact`. Its cost grows with the square of the nodes that share such regions, but
+   for pairs of large components' own nodes.
 
 Pairs of step 3 are candidates unless their sizes or sketches (bytes of minima) rule them out. Each node's likeliest
-pair is tried first and links are contracted, then all other pairs that still lie across components. Every link is
+pair is tried first and links are contracted, then step 4, then all other pairs that still lie across components. Every link is
 confirmed on the full shingle sets. The numbers of trees follow the threshold: a pair just at the
 threshold meets in no tree with a probability under `miss`.
 
@@ -40,9 +41,8 @@ from tessera.llm.common import gather, materialise, mix64, words_of
 #: Minima of which a sketch keeps the low bytes, in the first forest and in the second, where more pairs lie near the
 #: threshold; and by how many standard deviations it may fall short of the threshold.
 SKETCH, WIDE, SLACK = 64, 256, 5.0
-#: Minima of a tree's own in the first forest and in the second, and where the second is descended to.
+#: Minima of a tree's own in the first forest and in the second.
 DEPTH, DEEP = 3, 8
-DEEPER = (8, 12, 18)
 
 
 def trees_for(num: int, den: int, miss: float, depth: int = DEPTH) -> int:
@@ -223,19 +223,6 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return joined.select("node", F.coalesce("top", "component").alias("component")).union(fresh.select("node", "component"))
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (tree, rotated signature): each next to the last one, where the deepest keys agree."""
-    last = None
-    for batch in batches:
-        out: list[tuple] = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("node", "n_shingles", "comp", "key")), strict=True):
-            if last and last[3] == row[3] and last[2] != row[2]:
-                (a, na, *_), (b, nb, *_) = sorted((last, row))
-                out.append((a, b, na, nb, 1.0))
-            last = row
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.float64()])], _PAIR)
-
-
 #: Two nodes, the sizes of their sets, and the part of their sketches that agrees.
 _PAIR = ["a", "b", "na", "nb", "alike"]
 _PAIRS = "a long, b long, na long, nb long, alike double"
@@ -389,23 +376,9 @@ def _crowded(open_nodes: DataFrame, nodes: DataFrame, texts: DataFrame, width: i
     again = _likely(texts, ids).join(ids, "doc_id").select("doc_id", "text").mapInArrow(_describe(width, trees * DEEP, WIDE, 2), _DESCRIBED)
     signed = again.where("set_key IS NOT NULL").select(F.xxhash64("set_key").alias("node"), "n_shingles", "sig", "sketch").dropDuplicates(["node"])
     signed = materialise(signed.join(asked.select("node", "comp"), "node"), "forest-signed")
-    keys = signed.select("node", "comp", "sig").mapInArrow(_prefixes(trees, DEEP, DEEPER, ("node", "comp")), "node long, comp long, tree int, " + ", ".join(f"k{x} long" for x in DEEPER))
-    rows, out, left = materialise(keys, "forest-deep"), None, None
-    for level in DEEPER:
-        here = _mixed(rows, f"k{level}")
-        pairs = _pairs_across(here.where(F.col("n") <= crowd), signed, num, den, WIDE)
-        out = pairs if out is None else out.union(pairs)
-        rows = here.where(F.col("n") > crowd)
-        left = rows.select("key", "node") if left is None else left
-        rows = rows.drop("n", "key")
-        if rows.isEmpty():
-            return out, left
-    deep = rows.withColumn("key", F.col(f"k{DEEPER[-1]}")).join(signed.select("node", "n_shingles", "sig"), "node")
-    at = F.col("tree") * (4 * DEEP)
-    rotated = F.concat(F.substring("sig", at + 1, F.lit(4 * DEEP * trees)), F.substring("sig", F.lit(1), at))
-    deep = deep.select("tree", "key", "node", "n_shingles", "comp", rotated.alias("order"))
-    near = deep.repartitionByRange("tree", "key", "order", "node").sortWithinPartitions("tree", "key", "order", "node").select("key", "node", "n_shingles", "comp").mapInArrow(_neighbours, _PAIRS)
-    return out.union(near.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)), left
+    keys = signed.select("node", "comp", "sig").mapInArrow(_prefixes(trees, DEEP, (DEEP,), ("node", "comp")), f"node long, comp long, tree int, k{DEEP} long")
+    here = _mixed(materialise(keys, "forest-deep"), f"k{DEEP}")
+    return _pairs_across(here.where(F.col("n") <= crowd), signed, num, den, WIDE), here.where(F.col("n") > crowd).select("key", "node")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", miss: float = 1e-6, crowd: int = 100) -> DataFrame:

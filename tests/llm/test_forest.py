@@ -107,6 +107,38 @@ def test_links_left_in_crowded_regions(spark, documents, monkeypatch):
     assert sorted(tuple(sorted((ids[r.a], ids[r.b]))) for r in links) == sorted((c, i) for i, (_, c) in want.items() if c != i)
 
 
+def test_blocks_give_what_joins_all_linked_components():
+    """Chains and stars, whose ends are not linked with each other, in tiles smaller than they are."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    sets = []
+    for i in range(300):
+        body = set(range(i % 10 * 100, i % 10 * 100 + 80))
+        sets.append((body - set(rng.sample(sorted(body), rng.randint(0, 12)))) | {10**6 + i * 50 + k for k in range(rng.randint(0, 12))})
+    comp = [i if i % 7 else 0 for i in range(300)]
+
+    def merged(links):
+        parent = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            a, b = find(comp[a]), find(comp[b])
+            parent[max(a, b)] = min(a, b)
+        return [find(c) for c in comp]
+
+    for side in ([0] * 300, [i // 10 % 2 for i in range(300)]):
+        rows = pa.table([pa.array(side), pa.array(range(300)), pa.array(comp), pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))], ["side", "node", "comp", "shingles"])
+        got = forest._links_between(80, 100, 16)(rows)
+        got = list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+        want = [(a, b) for a, b in combinations(range(300), 2) if (not any(side) or side[a] != side[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        assert 0 < len(got) < 300 < len(want) and set(got) <= set(want) and merged(got) == merged(want)
+
+
 def test_edges(spark, documents):
     rows = near_duplicates(documents(), 3, 85, 100).collect()
     by = defaultdict(list)
