@@ -44,6 +44,17 @@ def test_trees_learn_what_rules_say(spark):
     assert all(got[i].verdict == "block" and got[i].rule is None for i in range(400, 420)) and all(got[i].verdict == "allow" for i in range(420, 440))
 
 
+def test_suffixes_count_beyond_the_rows_that_train(spark):
+    """Only the suffix tells, and most suffixes are not among the training rows; joined by broadcast and by salt."""
+    rng = random.Random(2)
+    rules = [("block" if k % 2 else "allow", f"{chr(97 + k)}x.zz/in") for k in range(24)]
+    urls = [f"http://{chr(97 + k)}x.zz/in/{rng.randrange(10**6):06}" for k in range(24) for _ in range(80)]
+    asked = [f"http://{chr(97 + k)}x.zz/at/{rng.randrange(10**6):06}" for k in range(24)]
+    df = spark.createDataFrame(list(enumerate(asked + urls)), "page_id long, url string")
+    got = [sorted((r.page_id, r.verdict) for r in judge(df, rules, train_rows=30, rounds=2, broadcast_rows=b).where("rule IS NULL").collect()) for b in (1000, 1)]
+    assert got[0] == got[1] == [(k, "block" if k % 2 else "allow") for k in range(24)]
+
+
 def test_edges(spark, sample):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert judge(empty, RULES).count() == 0
