@@ -11,8 +11,9 @@ a term for guessing by number of parts:
 - brute force: BRUTE guesses a character.
 It is worked out by dynamic programming over end positions and numbers of parts. Cost is in log10 of guesses.
 
-Kinds in order: assign, access, hex (base), then guess (a context value of cost `threshold` or more). Values are cut at
-`LONGEST` characters for the cost alone, which only grows with length; the span is whole.
+Kinds in order: assign, access, hex (base), then guess (a context value of cost `threshold` or more). Values are priced
+whole; segmentations are dropped as soon as their parts alone, a lower bound, cost the threshold. What is repeated is
+no repeat itself if it is longer than a word (`WORD`).
 
 Defined results: a null text is an empty one; an empty text has no spans and the digest of nothing; spans are of code
 points, end exclusive; rows that repeat are judged each.
@@ -37,7 +38,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of `[0-9a-f]+` that are long enough
 #: What may name a credential, then the value up to white space or a quote.
 CONTEXT = re.compile(r"""(?<![A-Za-z])(password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|login|credentials?|bearer|pin)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)["']?([^\s"'`<>,;]+)""", re.IGNORECASE | re.ASCII)
-LONGEST, BRUTE = 40, 1.0  # log10 of 10 guesses a character
+WORD, BRUTE = 24, 1.0  # longest word; log10 of 10 guesses a character
 PARTS = 8
 THRESHOLD = 10.0
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -89,42 +90,55 @@ def _walk_end(value: str, i: int) -> tuple[int, int]:
     return j + 1, turns
 
 
+def _parts_from(value: str, i: int, known: dict[str, int], path: str, enough: float) -> Iterator[tuple[int, float]]:
+    """(end, cost) of the parts that start at i; brute force only as far as it costs less than `enough`."""
+    n = len(value)
+    for j in range(i + 3, min(n, i + WORD) + 1):
+        cost = _word_cost(value[i:j], known)
+        if cost is not None:
+            yield j, cost
+    if m := _YEAR.match(value, i):
+        yield m.end(), math.log10(120)
+    for j in range(i + 4, min(n, i + 10) + 1):
+        if m := _DATE.fullmatch(value, i, j):
+            yield j, math.log10(365 * 120) + (math.log10(4) if m[1] or m[2] else 0)
+    end, turns = _walk_end(value, i)
+    for j in range(i + 3, end + 1):
+        yield j, math.log10(47 * 4) + math.log10(j - i) * turns
+    for size in range(1, (n - i) // 2 + 1):
+        if value[i + size] != value[i]:
+            continue
+        unit, times = value[i : i + size], 1
+        if not value.startswith(unit, i + size) or size > WORD and (unit + unit).find(unit, 1) < size:
+            continue
+        while value.startswith(unit, i + times * size):
+            times += 1
+        if times * size >= 3:
+            yield i + times * size, guess_cost(unit, path, enough) + math.log10(times)
+    for j in range(i + 1, min(n, i + math.ceil(min(enough, n) / BRUTE)) + 1):
+        yield j, BRUTE * (j - i) + (0.04 if j - i == 1 else 0.0)
+
+
 @lru_cache(maxsize=50_000)
-def guess_cost(value: str, path: str) -> float:
-    """log10 of guesses by the cheapest segmentation."""
-    value, known, n = value[:LONGEST], ranks(path), len(value[:LONGEST])
-    parts: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost)
+def guess_cost(value: str, path: str, enough: float = math.inf) -> float:
+    """log10 of guesses by the cheapest segmentation; any number from `enough` on if that is not less."""
+    known, n = ranks(path), len(value)
+    least: list[list[float] | None] = [None] * (n + 1)
+    least[0] = [0.0] + [math.inf] * PARTS
     for i in range(n):
-        for j in range(i + 3, min(n, i + 24) + 1):
-            cost = _word_cost(value[i:j], known)
-            if cost is not None:
-                parts[j].append((i, cost))
-        if m := _YEAR.match(value, i):
-            parts[m.end()].append((i, math.log10(120)))
-        for j in range(i + 4, min(n, i + 10) + 1):
-            if m := _DATE.fullmatch(value, i, j):
-                parts[j].append((i, math.log10(365 * 120) + (math.log10(4) if m[1] or m[2] else 0)))
-        end, turns = _walk_end(value, i)
-        for j in range(i + 3, end + 1):
-            parts[j].append((i, math.log10(47 * 4) + math.log10(j - i) * turns))
-        for size in range(1, (n - i) // 2 + 1):
-            unit, times = value[i : i + size], 1
-            while value.startswith(unit, i + times * size):
-                times += 1
-            if times > 1 and times * size >= 3:
-                inner = guess_cost(unit, path) if size < n else BRUTE * size
-                parts[i + times * size].append((i, inner + math.log10(times)))
-        for j in range(i + 1, n + 1):
-            parts[j].append((i, BRUTE * (j - i) + (0.04 if j - i == 1 else 0.0)))
-    least = [[math.inf] * (PARTS + 1) for _ in range(n + 1)]
-    least[0][0] = 0.0
-    for j in range(1, n + 1):
-        for i, cost in parts[j]:
-            for k in range(1, min(PARTS, j) + 1):
-                if least[i][k - 1] + cost < least[j][k]:
-                    least[j][k] = least[i][k - 1] + cost
+        if (own := least[i]) is None:
+            continue
+        for j, cost in _parts_from(value, i, known, path, enough):
+            for k in range(PARTS):
+                c = own[k] + cost
+                if c < enough:
+                    if (to := least[j]) is None:
+                        to = least[j] = [math.inf] * (PARTS + 1)
+                    to[k + 1] = min(to[k + 1], c)
+    if not n:
+        return 0.0
     # k parts may come in k! orders, and shorter guesses of as many parts come first.
-    return min((c + math.log10(math.factorial(k) + 1e4 ** (k - 1) * 10 ** -min(c, 300)) for k, c in enumerate(least[n]) if k and c < math.inf), default=0.0)
+    return min((c + math.log10(math.factorial(k) + 1e4 ** (k - 1) * 10 ** -min(c, 300)) for k, c in enumerate(least[n] or []) if k and c < math.inf), default=enough)
 
 
 def scan(text: str, path: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -135,7 +149,7 @@ def scan(text: str, path: str, threshold: float = THRESHOLD) -> list[tuple[int,
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
         value = m[2].rstrip(".:!?)]}*#$%&")
-        if len(value) >= 6 and guess_cost(value, path) >= threshold:
+        if len(value) >= 6 and guess_cost(value, path, threshold) >= threshold:
             out.append((m.start(2), 3, m.start(2) + len(value)))
     return sorted(out)
 

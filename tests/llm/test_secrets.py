@@ -40,6 +40,19 @@ def test_the_method_adds_context_values():
     assert [(KINDS[k], text[a:b]) for a, k, b in spans] == [("guess", "x9$Kq2!vLw8z")]
 
 
+def test_values_are_priced_whole():
+    """A cheap start hides no secret, and the end that stops early decides as the whole cost does."""
+    rng = random.Random(9)
+    rest = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(32))
+    text = "pwd=" + "z" * 40 + rest
+    assert scan(text, PATH) == [(4, 3, len(text))] and redact(text, scan(text, PATH)) == "pwd=[SECRET]"
+    assert scan("pwd=" + "z" * 5000, PATH) == [] and scan("pwd=" + "z" * 2000 + rest, PATH) == [(4, 3, 2036)]
+    bits = ["password", "qwerty", "000", "1990", "x", "Kq", "7", "abcabc", "horse"]
+    for _ in range(300):
+        value = "".join(rng.choice(bits) for _ in range(rng.randint(1, 8)))
+        assert (guess_cost(value, PATH, 10.0) >= 10) == (guess_cost(value, PATH) >= 10), value
+
+
 def test_edges(documents):
     df = documents([(1, "token = 'abcdefgh12345' \U0001f600 secret:aaaabbbbcccc"), (2, "deadbeef" * 4)])
     got = {r.doc_id: r for r in df.select("doc_id", find_secrets(F.col("text"), PATH).alias("s")).select("doc_id", "s.*").collect()}
