@@ -47,11 +47,12 @@ class Receipt:
 
 
 class Commands:
-    def __init__(self, engine: Engine, changes: Changes | None = None, wait: float = 1.0, at_once: int = 64) -> None:
-        self.engine, self.changes, self.wait, self.at_once = engine, changes or Changes(), wait, at_once
+    def __init__(self, engine: Engine, changes: Changes | None = None, wait: float = 1.0, at_once: int = 64, kept: int = 1024) -> None:
+        self.engine, self.changes, self.wait, self.at_once, self.kept = engine, changes or Changes(), wait, at_once, kept
         self.known: dict[str, Command] = {}
         self.pool = ThreadPoolExecutor(8)
         self.open: dict[str, tuple[str, Future]] = {}
+        self.read: dict[str, None] = {}
 
     def register(self, command: Command) -> None:
         self.known[command.name] = command
@@ -92,8 +93,7 @@ class Commands:
             raise Forbidden(name)
         if command.target:
             self._target(command, bound, ctx)
-        self.open = {k: v for k, v in self.open.items() if not v[1].done()} if len(self.open) >= self.at_once else self.open
-        if len(self.open) >= self.at_once:
+        if sum(not f.done() for _, f in self.open.values()) >= self.at_once:
             raise CommandLimit(name)
         receipt = uuid.uuid4().hex
 
@@ -109,6 +109,11 @@ class Commands:
     def receipt(self, receipt: str, wait: float = 0.0) -> Receipt:
         if receipt not in self.open:
             raise NotFound(receipt)
+        if self.open[receipt][1].done():  # read, so no longer held once there are many
+            self.read[receipt] = None
+            while len(self.read) > self.kept:
+                self.open.pop(next(iter(self.read)), None) if next(iter(self.read)) != receipt else None
+                self.read.pop(next(iter(self.read)))
         try:
             return Receipt(receipt, "Completed", self.open[receipt][1].result(timeout=wait))
         except NotYet:

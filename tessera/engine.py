@@ -9,7 +9,7 @@ import json
 import logging
 import secrets
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +18,23 @@ from pyspark.sql import functions as F
 from tessera.errors import Forbidden, NotFound, RequestError, StaleClient, TooLarge, ValidationError
 from tessera.operators.paging import page_frame, page_of
 from tessera.operators.pipeline import FOLDS, OPERATORS, PICKS, Rows, fold, one, pick
-from tessera.operators.scope import Scope
+from tessera.operators.scope import Reads, Scope
 from tessera.plans.validate import Limits, validate
 from tessera.sources.catalog import Catalog, Context, Source
 
 log = logging.getLogger("tessera")
 
 
+class Spilled:
+    """Rows of a long list answer: each iteration runs the query and holds one partition."""
+
+    def __init__(self, rows: Callable[[], Iterator[dict]]) -> None:
+        self._rows = rows
+
+    def __iter__(self) -> Iterator[dict]:
+        return self._rows()
+
+
 class Engine:
     def __init__(self, spark: SparkSession, catalog: Catalog, limits: Limits | None = None, secret: bytes | None = None, audit: Any = None) -> None:
         self.spark, self.catalog, self.limits = spark, catalog, limits or Limits()
@@ -50,7 +60,7 @@ class Engine:
         """The answer as a frame: rows, one row with `value`, or the rows of a page. Nothing runs yet."""
         return self._frame(request, ctx or {})[0]
 
-    def _frame(self, request: dict, ctx: Context) -> tuple[DataFrame, dict | None, Any, set[str]]:
+    def _frame(self, request: dict, ctx: Context) -> tuple[DataFrame, dict | None, Any, Reads]:
         rows, op = self._lower(request, ctx)
         kind = op["$type"] if op else None
         shape = None
@@ -71,41 +81,72 @@ class Engine:
         """{kind, value|rows|row|items...}; kinds are List, Scalar, Single and Page."""
         return self.answer(request, ctx or {})[0]
 
-    def answer(self, request: dict, ctx: Context) -> tuple[dict, set[str]]:
+    def answer(self, request: dict, ctx: Context) -> tuple[dict, Reads]:
         """An answer and the sources it was read from."""
         with self._recorded(request, ctx) as span:
             df, op, shape, reads = self._frame(request, ctx)
             self._refuse_hidden(request, reads, ctx)
             kind = op["$type"] if op else None
+            if kind is None:
+                out = self._list(df, request, ctx, span)
+                return out, reads
             found = df.collect()
             span["rows"] = len(found)
             if kind in FOLDS:
                 out = {"kind": "Scalar", "value": found[0]["value"]}
+                sent = [{"value": out["value"]}]
             elif kind in PICKS:
                 out = {"kind": "Single", "row": one(found, op)}
-            elif kind == "page":
-                out = {"kind": "Page"} | page_of(found, *shape, request, self.secret)
+                sent = [out["row"]] if out["row"] else []
             else:
-                out = {"kind": "List", "rows": [r.asDict(recursive=True) for r in found]}
+                out = {"kind": "Page"} | page_of(found, *shape, request, self.secret)
+                sent = out["items"]
             if self.audit:
-                self.audit.record(request, ctx, out)
+                self.audit.record(request, ctx, out["kind"], sent)
         return out, reads
 
+    def _list(self, df: DataFrame, request: dict, ctx: Context, span: dict) -> dict:
+        """A list's rows: a Python list up to `held_rows`, beyond it an iterable that holds one partition at a time."""
+        most = self.limits.held_rows
+        found = df.limit(most + 1).collect()
+        if len(found) <= most:
+            rows = list(self._sent((r.asDict(recursive=True) for r in found), request, ctx, "List", None))
+            span["rows"] = len(rows)
+            return {"kind": "List", "rows": rows}
+        return {"kind": "List", "rows": Spilled(lambda: self._sent(self._each(df), request, ctx, "List", None))}
+
+    @staticmethod
+    def _each(df: DataFrame) -> Iterator[dict]:
+        return (r.asDict(recursive=True) for r in df.toLocalIterator(prefetchPartitions=True))
+
+    def _sent(self, rows: Iterator[dict], request: dict, ctx: Context, kind: str, most: int | None) -> Iterator[dict]:
+        """Rows as they leave: within the limits on their number and bytes, and audited before they do."""
+        yield from self.audit.recorded(request, ctx, kind, self._bounded(rows, most)) if self.audit else self._bounded(rows, most)
+
+    def _bounded(self, rows: Iterator[dict], most: int | None) -> Iterator[dict]:
+        size = 0
+        for count, row in enumerate(rows, 1):
+            if most and count > most:
+                raise TooLarge(f"a stream has {most} rows at most")
+            if self.limits.response_bytes:
+                size += len(json.dumps(row, default=str))
+                if size > self.limits.response_bytes:
+                    raise TooLarge(f"an answer has {self.limits.response_bytes} bytes at most")
+            yield row
+
     def stream(self, request: dict, ctx: Context | None = None) -> Iterator[dict]:
         """Rows as they come, between a begin and an end marker; without the end the answer is not whole."""
         ctx = ctx or {}
-        df, op, _, reads = self._frame(request, ctx)
-        if op:
-            raise ValidationError("only rows are streamed")
-        self._refuse_hidden(request, reads, ctx)
-        yield {"begin": df.columns}
-        count = 0
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            count += 1
-            if self.limits.stream_rows and count > self.limits.stream_rows:
-                raise TooLarge(f"a stream has {self.limits.stream_rows} rows at most")
-            yield {"row": row.asDict(recursive=True)}
-        yield {"end": count}
+        with self._recorded(request, ctx) as span:
+            df, op, _, reads = self._frame(request, ctx)
+            if op:
+                raise ValidationError("only rows are streamed")
+            self._refuse_hidden(request, reads, ctx)
+            yield {"begin": df.columns}
+            for row in self._sent(self._each(df), request, ctx, "Stream", self.limits.stream_rows):
+                span["rows"] += 1
+                yield {"row": row}
+            yield {"end": span["rows"]}
 
     def batch(self, requests: list[dict], ctx: Context | None = None) -> list[dict]:
         """Independent answers, one after the other; one that fails leaves the others alone."""
@@ -152,7 +193,28 @@ class Engine:
         found = rows.select(member).limit(1).collect()
         if not found:
             raise NotFound(f"{source} has no such row")
-        return None if found[0][0] is None else bytes(found[0][0])
+        content = None if found[0][0] is None else bytes(found[0][0])
+        if self.audit:  # by digest: the bytes are where they were
+            sent = key | {member: None if content is None else hashlib.sha256(content).hexdigest()}
+            self.audit.record({"root": own.name, "attachment": member, "key": key}, ctx, "Attachment", [sent])
+        return content
+
+    def ready(self, ctx: Context) -> None:
+        """Fails before any caller does if a policy does not apply: its frame must keep the source's columns.
+
+        A policy is also applied in the place of each link and collection that reaches its source. Nothing is read.
+        """
+        for source in self.catalog.sources.values():
+            try:
+                made = self.catalog.rows(source, self.spark, ctx).columns
+                if not set(source.fields) <= set(made):
+                    raise ValidationError(f"its policies leave {made}")
+                for name in source.links:
+                    Scope(self.catalog, source, self.catalog.rows(source, self.spark, ctx), ctx)._link(source, (name,))
+                for children in source.children.values():
+                    Scope(self.catalog, source, self.catalog.rows(source, self.spark, ctx), ctx).open(children.target, children=True)
+            except Exception as e:
+                raise ValidationError(f"{source.name} is not ready: {e}") from e
 
     def sensitive(self, request: dict) -> bool:
         """Whether a request names a member that may be in no URL and no cache."""
@@ -161,13 +223,13 @@ class Engine:
 
     # Around an answer
 
-    def _refuse_hidden(self, request: dict, reads: set[str], ctx: Context) -> None:
+    def _refuse_hidden(self, request: dict, reads: Reads, ctx: Context) -> None:
         """Where a source asks for it, rows that a policy hides refuse the request rather than go missing."""
         pick_one = request["pipeline"][-1]["$type"] in PICKS if request["pipeline"] else False
         root = self.catalog[request["root"]]
         for name in sorted(reads):
             source = self.catalog[name]
-            position = ("RootSingle" if pick_one else "RootList") if source.name == root.name else "Navigation"
+            position = ("RootSingle" if pick_one else "RootList") if source.name == root.name else "CollectionNavigation" if name in reads.collections else "Navigation"
             if position in source.denied:
                 self._probe(source, request if source.name == root.name else None, ctx)
 
@@ -179,7 +241,13 @@ class Engine:
             filters = [x for x in request["pipeline"] if x["$type"] == "where"] + [{"$type": "where", "predicate": x["predicate"]} for x in request["pipeline"][-1:] if x["$type"] in PICKS and "predicate" in x]
             asked = {"version": 1, "root": source.name, "pipeline": filters}
             whole, seen = (Engine(self.spark, c, self.limits).frame(asked, ctx) for c in (open_catalog, self.catalog))
-        if whole.count() > seen.count():
+        key = [k for k in source.key if k in whole.columns]
+        if key and len(key) == len(source.key):  # a key says which rows are missing, and the first one is enough
+            missing = whole.select(*key).join(seen.select(*key), key, "left_anti")
+            hidden = not missing.isEmpty()
+        else:
+            hidden = whole.count() > seen.count()
+        if hidden:
             raise Forbidden(f"{source.name} has rows that this caller may not see")
 
     @contextlib.contextmanager

@@ -195,7 +195,7 @@ def _convert(name: str, target: T.DataType) -> None:
     _add(name, lambda t: _text(t) or is_number(t), build)
 
 
-for _n, _f in {"Int32": T.IntegerType(), "Int64": T.LongType(), "Decimal": T.DecimalType(28, 6), "Double": T.DoubleType(), "Boolean": T.BooleanType(), "Byte": T.ShortType(), "Int16": T.ShortType(), "Single": T.FloatType()}.items():
+for _n, _f in {"Int32": T.IntegerType(), "Int64": T.LongType(), "Decimal": T.DecimalType(38, 18), "Double": T.DoubleType(), "Boolean": T.BooleanType(), "Byte": T.ShortType(), "Int16": T.ShortType(), "Single": T.FloatType()}.items():
     _convert(f"{_n}From", _f)
 
 # Bytes.

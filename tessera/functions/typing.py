@@ -51,6 +51,18 @@ def constant(node: dict, wanted: T.DataType | None = None) -> Column:
         raise ValidationError(f"{text!r} is no {target.simpleString()}") from e
 
 
+def constant_type(node: dict, wanted: T.DataType | None = None) -> T.DataType:
+    """The type of the column that `constant` makes, without asking Spark."""
+    if node["tag"] == "Null" or node.get("value") is None:
+        return wanted or T.NullType()
+    own = _OWN[node["tag"]]
+    target = wanted if wanted is not None else own
+    if is_number(target) and is_number(own) and not _fits(node["value"], target):
+        target = own
+    known = isinstance(target, (T.BooleanType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType))
+    return target if known else T.StringType()
+
+
 def _fits(text: str, t: T.DataType) -> bool:
     if isinstance(t, INTEGERS):
         bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}[type(t)]

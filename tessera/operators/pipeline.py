@@ -17,7 +17,7 @@ from tessera.errors import NotFound, ValidationError
 from tessera.functions.typing import is_number
 from tessera.operators.scope import Group, Scope, aggregate, exact, members
 from tessera.plans.nodes import Node, segments
-from tessera.sources.catalog import Children
+from tessera.sources.catalog import Children, Source
 
 JOINS = {"Inner": "inner", "Left": "left", "Right": "right"}
 
@@ -189,7 +189,7 @@ def select_many(rows: Rows, op: Node) -> None:
     scope = rows.scope
     found = scope.collection(op["path"])
     if isinstance(found, Children):
-        child = scope.open(found.target)
+        child = scope.open(found.target, children=True)
         parents = scope.df.select(*[exact(scope.df, k).alias(f"__p{i}") for i, k in enumerate(scope.source.key)])
         on = [F.col(f"__p{i}") == exact(child.df, c) for i, c in enumerate(found.columns)]
         child.df = child.df.join(parents, on, "left_semi") if scope.source.key else child.df.join(parents, on).drop(*parents.columns)
@@ -198,12 +198,10 @@ def select_many(rows: Rows, op: Node) -> None:
         kind = scope.type_of(found).elementType
         if not isinstance(kind, T.StructType):
             raise ValidationError("only rows and value objects flatten")
-        from dataclasses import replace
-
         df = scope.df.select(F.explode(found).alias("e")).select("e.*")
-        source = replace(scope.source, name=f"{scope.source.name}.{op['path']}", schema=kind, key=(), links={}, children={}, policies=(), capabilities={}, hidden=frozenset(), base=None, discriminator=None)
-        scope.catalog.sources.setdefault(source.name, source)
-        rows.scope = Scope(scope.catalog, source, df, scope.ctx, scope.reads)
+        # A source of this request alone: the catalog names no elements, so nobody can ask for them past their owner's policies.
+        name = f"{scope.source.name}.{'.'.join(segments(op['path']))}"
+        rows.scope = Scope(scope.catalog, Source(name, scope.source.read, kind, kind="elements"), df, scope.ctx, scope.reads, note=False)
     rows.order, rows.order_nodes = [], []
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.errors import ValidationError
 from tessera.functions.scalar import call
-from tessera.functions.typing import INTEGERS, constant, is_number, promoted
+from tessera.functions.typing import INTEGERS, constant, constant_type, is_number, promoted
 from tessera.plans.nodes import Node, key_of, segments
 from tessera.sources.catalog import Catalog, Children, Context, Link, Source
 
@@ -31,11 +31,20 @@ def exact(df: DataFrame, column: str) -> Column:
     return F.col(f"`{column}`")
 
 
+class Reads(set[str]):
+    """The sources that a request reads, and which of them as child rows."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.collections: set[str] = set()
+
+
 class Scope:
-    def __init__(self, catalog: Catalog, source: Source, df: DataFrame, ctx: Context, reads: set[str] | None = None) -> None:
+    def __init__(self, catalog: Catalog, source: Source, df: DataFrame, ctx: Context, reads: Reads | None = None, note: bool = True) -> None:
         self.catalog, self.source, self.df, self.ctx = catalog, source, df, ctx
-        self.reads = reads if reads is not None else set()
-        self._note(source)
+        self.reads = reads if reads is not None else Reads()
+        if note:
+            self._note(source)
         self.joined: dict[tuple[str, ...], Source] = {}
         self.answers: dict[str, str] = {}
         self.element: tuple[Column, T.DataType] | None = None
@@ -50,9 +59,11 @@ class Scope:
             self.reads.add(s.name)
             self.reads.update(r for p in s.policies for r in p.reads)
 
-    def open(self, name: str) -> Scope:
+    def open(self, name: str, children: bool = False) -> Scope:
         """A scope over another source's visible rows."""
         source = self.catalog[name]
+        if children:
+            self.reads.collections.update(s.name for s in self.catalog.chain(source))
         self._note(source)
         return Scope(self.catalog, source, self.catalog.rows(source, self.spark, self.ctx), self.ctx, self.reads)
 
@@ -77,7 +88,7 @@ class Scope:
         if len(names) == 1 and names[0] in source.capabilities and not prefix:
             return F.coalesce(source.capabilities[names[0]](self.ctx), F.lit(False))
         field = source.member(names[0])
-        return self._inside(exact(self.df, "__".join((*prefix, field.name))), field.dataType, names[1:])
+        return self._inside(source.shown(field.name, exact(self.df, "__".join((*prefix, field.name)))), field.dataType, names[1:])
 
     def _inside(self, column: Column, kind: T.DataType, names: list[str]) -> Column:
         for name in names:
@@ -132,6 +143,8 @@ class Scope:
             probe = Scope(self.catalog, self.source, self.spark.createDataFrame([], T.StructType([T.StructField("e", self.element[1])])), self.ctx)
             probe.element = (F.col("e"), self.element[1])
             return probe.type_of(probe.expr(node))
+        if node["$type"] == "member" and not self.group and not self.element and (known := self.source.fields.get(node["path"] if isinstance(node["path"], str) else "")) is not None:
+            return known.dataType  # as the catalog has it; Spark is asked about expressions only
         return self.type_of(column)
 
     def expr(self, node: Node) -> Column:
@@ -170,7 +183,7 @@ class Scope:
         return a, b, self.kind(left, a), self.kind(right, b)
 
     def _const_type(self, node: Node, kind: T.DataType | None) -> T.DataType:
-        return self.spark.range(0).select(constant(node, kind)).schema[0].dataType
+        return constant_type(node, kind)
 
     def _check_enum(self, left: Node, right: Node) -> None:
         """A constant that is compared with an enum member names one of its values."""
@@ -335,7 +348,7 @@ class Scope:
             self._answer(list({key_of(n): n for n in nodes}.values()), self.source.children[name])
 
     def _answer(self, nodes: list[Node], children: Children) -> None:
-        child, made, first = self.open(children.target), [], f"__q{len(self.answers)}"
+        child, made, first = self.open(children.target, children=True), [], f"__q{len(self.answers)}"
         for node in nodes:
             fn = node["function"]
             keep = F.coalesce(child.condition(node["predicate"]), F.lit(False)) if node.get("predicate") else None
@@ -387,7 +400,7 @@ class Scope:
             return F.coalesce(kept, F.array())
         name = f"__q{len(self.answers)}"
         self.answers[key_of(value) + "#rows"] = name
-        child = self.open(found.target)
+        child = self.open(found.target, children=True)
         if value.get("predicate"):
             keep = child.condition(value["predicate"])
             child.df = child.df.where(keep)

@@ -23,6 +23,8 @@ class Limits:
     batch: int = 20
     parts: int = 8  # group keys, key parts, members of distinct and set rows
     stream_rows: int | None = None
+    held_rows: int = 10_000  # of a list answer on the driver; a longer one is read as it is used
+    response_bytes: int | None = None  # of a list answer or a stream
 
 
 #: Fixed shapes: the properties that an element has, and which of them must be there.
@@ -150,6 +152,7 @@ def validate(request: dict, limits: Limits = Limits()) -> None:  # noqa: B008, C
         if "select" in done:
             refuse(kind in ("where", "ofType", "selectMany", "groupBy", "join", "select", "aggregate"), f"{kind} does not follow select")
             refuse(kind in ORDERING and "distinct" not in done, f"{kind} follows select only after distinct")
+            refuse(kind in TERMINALS and "predicate" in op, f"{kind} takes no predicate after select")
         if "distinct" in done:
             refuse(kind in ("distinct", "all", "page", "set", "aggregate"), f"{kind} does not follow distinct")
             refuse(kind == "thenBy" and not ordered, "thenBy follows orderBy")

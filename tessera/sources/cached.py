@@ -23,9 +23,9 @@ from tessera.sources.catalog import Context, Policy
 class CachedPolicy:
     """decide: a frame of rows and the context -> a boolean series. scope: what of the context decisions depend on."""
 
-    def __init__(self, name: str, key: str, version: str, folder: str, decide: Callable[[pd.DataFrame, Context], pd.Series], scope: Callable[[Context], Any]) -> None:
+    def __init__(self, name: str, key: str, version: str, folder: str, decide: Callable[[pd.DataFrame, Context], pd.Series], scope: Callable[[Context], Any], most: int = 16) -> None:
         self.name, self.key, self.version, self.folder, self.decide, self.scope = name, key, version, folder, decide, scope
-        self.generation = 0
+        self.generation, self.most = 0, most
         self.parts: dict[str, list[str]] = {}
 
     def invalidate(self) -> None:
@@ -54,10 +54,16 @@ class CachedPolicy:
             for rows in frames:
                 yield pd.DataFrame({"k": rows[key], "v": rows[version], "allowed": decide(rows, ctx).astype(bool)})
 
+        # A row without a key cannot be remembered, and so is not allowed.
+        todo = todo.where(F.col(self.key).isNotNull())
         if not todo.isEmpty():
             path = f"{self.folder}/{self.name}-{place}-{uuid.uuid4().hex}"
             todo.mapInPandas(run, schema).write.parquet(path)
             parts.append(path)
+            if len(parts) > self.most:  # the newest decision of each key, in one table again
+                path = f"{self.folder}/{self.name}-{place}-{uuid.uuid4().hex}"
+                spark.read.schema(schema).parquet(*parts).groupBy("k").agg(F.max(F.struct("v", "allowed")).alias("x")).select("k", "x.v", "x.allowed").write.parquet(path)
+                parts[:] = [path]
         if not parts:
             return df.limit(0)
         decisions = spark.read.schema(schema).parquet(*parts)

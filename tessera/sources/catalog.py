@@ -74,7 +74,15 @@ class Source:
 
     @property
     def fields(self) -> dict[str, T.StructField]:
-        return {f.name: f for f in self.schema if f.name not in self.hidden}
+        return {f.name: _without(f, self._within(f.name)) for f in self.schema if f.name not in self.hidden}
+
+    def _within(self, name: str) -> list[str]:
+        """Paths below a member that are hidden, as `address.zip` in `hidden`."""
+        return [h[len(name) + 1 :] for h in self.hidden if h.startswith(f"{name}.")]
+
+    def shown(self, name: str, column: Column) -> Column:
+        """A member's column, without what is hidden inside."""
+        return _dropped(column, self.schema[name].dataType, self._within(name))
 
     def member(self, name: str) -> T.StructField:
         found = self.fields.get(self.aliases.get(name, name))
@@ -88,6 +96,25 @@ class Source:
         return [n for n, f in self.fields.items() if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) and n not in self.attachments]
 
 
+def _without(f: T.StructField, paths: list[str]) -> T.StructField:
+    """A field without the hidden paths below it; those of an array are of its elements."""
+    if not paths:
+        return f
+    kind = f.dataType
+    if isinstance(kind, T.ArrayType):
+        return T.StructField(f.name, T.ArrayType(_without(T.StructField("e", kind.elementType), paths).dataType, kind.containsNull), f.nullable)
+    kept = [_without(x, [p[len(x.name) + 1 :] for p in paths if p.startswith(f"{x.name}.")]) for x in kind if x.name not in paths]
+    return T.StructField(f.name, T.StructType(kept), f.nullable)
+
+
+def _dropped(column: Column, kind: T.DataType, paths: list[str]) -> Column:
+    if not paths:
+        return column
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _dropped(x, kind.elementType, paths))
+    return column.dropFields(*paths)
+
+
 class Catalog:
     def __init__(self, *sources: Source, retired: dict[str, str] | None = None) -> None:
         self.sources = {s.name: s for s in sources}

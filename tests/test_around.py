@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import threading
 import time
 
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from tessera.audit import Audit
 from tessera.commands import Command, Commands
 from tessera.engine import Engine
-from tessera.errors import Forbidden, NotFound, StaleClient, SubscriptionLimit, ValidationError
+from tessera.errors import Forbidden, NotFound, StaleClient, SubscriptionLimit, TooLarge, ValidationError
 from tessera.plans.nodes import ask, m
+from tessera.plans.validate import Limits
 from tessera.query import collection, source
 from tessera.sources.cached import CachedPolicy
 from tessera.sources.catalog import Policy
@@ -193,7 +195,7 @@ def test_commands(spark):
 
 def test_audit(spark, tmp_path):
     surface = catalog()
-    audit = Audit(spark, str(tmp_path / "audit"), surface)
+    audit = Audit(spark, str(tmp_path / "audit"), surface, chunk=2)
     own = Engine(spark, surface, audit=audit)
     own.execute(shop.where(m("id") < 3).select("id", "region").request(), {"caller": "a"})
     own.execute(shop.where(m("id") == 1).select("id", "region").request(), {"caller": "b"})
@@ -202,5 +204,95 @@ def test_audit(spark, tmp_path):
     assert audit.member_received_by("b", "shop", "region") and not audit.member_received_by("b", "shop", "amount")
     answer = audit.answers.where("caller = 'a'").first()
     assert sorted(r["id"] for r in audit.reconstruct(answer.answer)) == [1, 2] and audit.verify()
-    audit.erase(audit.received_by("b"))
+    shape = audit.units.first().shape
+    assert {r.member for r in audit.shape(shape).collect()} == {"id", "region"} == {r.member for r in audit.catalogue().collect()}
+    audit.erase(audit.received_by("b"), "officer")
     assert sorted("erased" in r for r in audit.reconstruct(answer.answer)) == [False, True] and audit.verify()
+    # Streams by chunk, attachments by digest, scalars; a new writer goes on from what is stored.
+    assert len(list(own.stream(shop.order_by(m("id")).select("id").request(), {"caller": "s"}))) == 5
+    again = Audit(spark, str(tmp_path / "audit"), surface, chunk=2)
+    Engine(spark, surface, audit=again).attachment("person", "photo", {"pid": 10}, {"caller": "s"})
+    Engine(spark, surface, audit=again).execute(shop.count().request(), {"caller": "s"})
+    again.reviewed("officer", "Row", source="shop", key=1)
+    kinds = sorted((r.kind, r.chunk, r.rows) for r in again.answers.where("caller = 's'").collect())
+    assert kinds == [("Attachment", 0, 1), ("Scalar", 0, 1), ("Stream", 0, 2), ("Stream", 1, 1)] and again.verify() and again.reviews.count() == 1
+    assert again.status() | {"head": None} == {"chunks": 6, "answers": 5, "rows": 8, "erased": 1, "head": None}
+    assert own.metrics[-1]["rows"] == 3 and own.metrics[-1]["outcome"] == "ok"
+
+
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    audit = Audit(spark, str(tmp_path_factory.mktemp("written")), catalog())
+    for caller in "abc":
+        audit.record({"root": "shop"}, {"caller": caller}, "Single", [{"id": 1, "region": "North"}])
+    assert audit.verify()
+    return audit
+
+
+@pytest.mark.parametrize("table, change", [("answers", "drop first"), ("answers", "drop last"), ("answers", "caller"), ("answers", "at"), ("units", "drop"), ("units", "address"), ("units", "stray"), ("answers", "twice")])
+def test_a_forged_audit_is_told(spark, tmp_path, written, table, change):
+    folder = str(tmp_path / "audit")
+    shutil.copytree(written.folder, folder)
+    audit = Audit(spark, folder, written.catalog)
+    audit._head = written.head()
+    rows = spark.createDataFrame(getattr(audit, table).collect(), getattr(audit, table).schema)
+    forged = {
+        "drop first": lambda: rows.where("seq > 0"), "drop last": lambda: rows.where("seq < 2"), "caller": lambda: rows.withColumn("caller", F.lit("z")), "at": lambda: rows.withColumn("at", F.expr("at + INTERVAL 1 DAY")),
+        "drop": lambda: rows.limit(2), "address": lambda: rows.withColumn("address", F.lit("0")), "stray": lambda: rows.union(rows.limit(1).withColumn("answer", F.lit("x"))), "twice": lambda: rows.union(rows.limit(1)),
+    }[change]()
+    forged.write.mode("overwrite").parquet(f"{folder}/{table}")
+    assert not audit.verify()
+
+
+def test_long_answers_are_read_as_they_are_used(spark):
+    own = Engine(spark, catalog(), Limits(held_rows=2))
+    rows = own.execute(shop.order_by(m("id")).select("id").request())["rows"]
+    assert not isinstance(rows, list) and [r["id"] for r in rows] == [1, 2, 3] == [r["id"] for r in rows]
+    assert isinstance(own.execute(shop.where(m("id") < 3).select("id").request())["rows"], list)
+    for small in (Limits(response_bytes=15), Limits(response_bytes=15, held_rows=1)):
+        with pytest.raises(TooLarge):
+            list(Engine(spark, catalog(), small).execute(shop.select("id").request())["rows"])
+
+
+def test_flattened_arrays_stay_behind_their_owner(spark):
+    """Nobody can name what another request flattened, hidden members of elements stay hidden, and the surface stays as it is."""
+    narrow = Policy("third", lambda ctx: F.col("id") == 3)
+    own = Engine(spark, catalog(shop={"policies": (narrow,), "hidden": frozenset({"secret", "lines.n", "address.zip"})}))
+    stamp = own.describe()["stamp"]
+    for path in ("lines",):
+        assert own.execute(shop.flatten(path).request())["rows"] == []
+        for name in (f"shop.{path}", path):
+            with pytest.raises(ValidationError):
+                own.execute(source(name).select("id", "secret").request())
+    assert own.describe()["stamp"] == stamp
+    seen = Engine(spark, catalog(shop={"hidden": frozenset({"secret", "lines.n", "address.zip"})}))
+    assert seen.execute(shop.flatten("lines").where(m("sku") == "c").request())["rows"] == [{"sku": "c"}]
+    assert seen.execute(shop.where(m("id") == 1).select("address", "lines", c=m("address.city")).request())["rows"] == [{"address": {"city": "Oslo"}, "lines": [{"sku": "a"}, {"sku": "b"}], "c": "Oslo"}]
+    for query in (shop.select(z=m("address.zip")), shop.flatten("lines").select("n"), shop.where(ask("Any", "lines", where=m("n") == 1))):
+        with pytest.raises(ValidationError):
+            seen.execute(query.request())
+
+
+def test_a_policy_that_does_not_apply_is_told_at_the_start(spark):
+    Engine(spark, catalog(shop={"policies": (NORTH,)})).ready({"region": "North"})
+    for bad in (Policy("none", lambda ctx: F.col("no_such_column") == 1), Policy("drops", narrow=lambda df, ctx: df.select("id"))):
+        with pytest.raises(ValidationError):
+            Engine(spark, catalog(shop={"policies": (bad,)})).ready({})
+
+
+def test_hidden_children_refuse_where_asked(spark):
+    cheap = Policy("cheap", lambda ctx: F.col("price") < 3)
+    strict = Engine(spark, catalog(line={"policies": (cheap,), "denied": frozenset({"CollectionNavigation"})}))
+    with pytest.raises(Forbidden):
+        strict.execute(shop.select("id", n=ask("Count", "rows")).request())
+    assert strict.execute(source("line").count().request())["value"] == 1
+
+
+def test_receipts_are_kept_until_they_are_read(spark):
+    commands = Commands(Engine(spark, catalog()), wait=0.0, at_once=2, kept=1)
+    commands.register(Command("Say", {"x": int}, lambda p, ctx: p["x"]))
+    ids = []
+    for i in range(6):
+        ids.append(commands.send("Say", {"x": i}).id)
+        commands.open[ids[-1]][1].result()
+    assert [commands.receipt(i, 5).result for i in ids] == list(range(6))

@@ -35,6 +35,7 @@ def deep(n):
         shop.select("id").distinct().distinct(), shop.select("id").distinct().all(m("id") == 1), by_id.select("id").distinct().take(1), by_id.flatten("rows").take(1), shop.flatten("rows").flatten("rows"),
         shop.where(agg("Count") > 1), shop.select(n=agg("Count")), shop.select("id", ID=m("id")), shop.select("id", iD=m("id")).select("id"), shop.select(x=m("id").coalesce(1) if False else m("a.b.c.d.e.f.g")),
         shop.where(ask("Any", "rows", where=ask("Any", "rows"))), shop.where(m("id").in_source("person", m("pid"), m("pid").in_source("shop", m("id")))), shop.where(deep(40)), shop.where(m("id").is_in(*range(1001))),
+        shop.select("id").count(m("id") == 1), shop.select("id").any(m("id") == 1), shop.select("id").all(m("id") == 1), shop.select("id").first(m("id") == 1), shop.select("id").single(m("id") == 1), by_id.select("id").last(m("id") == 1), shop.select("id").distinct().count(m("id") == 1), shop.select("id").distinct().first(m("id") == 1), grouped.select("region").count(m("id") == 1),
         shop.select("id", n=nested("owner_", x=collection("rows"))), shop.select(n=nested("a", y=nested("b", z=nested("c", q=nested("d", r=nested("e", "f")))))),
     ],
 )
