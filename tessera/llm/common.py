@@ -8,7 +8,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,22 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's spark.checkpoint.dir; one is set only where there is none."""
+    """A new folder under the session's spark.checkpoint.dir, which executors share. Where it is unset, a local session gets
+    one of this machine; elsewhere that would lose tables without a word, so it fails."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: later jobs neither recompute it nor lose it."""
+def parts(rows: int | None, each: int = 50_000) -> int | None:
+    """Into how many files a table of at most so many rows goes; None leaves it to Spark."""
+    return None if rows is None else max(1, -(-rows // each))
+
+
+def materialise(df: DataFrame, name: str, into: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: later jobs neither recompute it nor lose it.
+
+    into: at most so many files, so that a small table is not many tasks for each job that reads it.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(into) if into else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, into: int | None = None) -> tuple[DataFrame, int]:
+    """As `materialise`, and how many rows it wrote, observed on the way."""
+    seen = Observation()
+    out = materialise((df.coalesce(into) if into else df).observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 class Slots(dict):
     """Gives each new key the next integer; `new` lists the keys that no one has worked out yet."""
 

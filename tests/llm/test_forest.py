@@ -97,14 +97,13 @@ def test_links_left_in_crowded_regions(spark, documents, monkeypatch):
     assert sum(c != i for i, (_, c) in want.items()) == 30
     monkeypatch.setattr(forest, "BLOCK", 40)
     texts = documents(docs, edges=False).select("doc_id", "text")
-    nodes = materialise(texts.mapInArrow(forest._describe(5, 8), forest._DESCRIBED).selectExpr("xxhash64(set_key) AS node", "doc_id", "n_shingles"), "nodes")
-    rows = nodes.selectExpr("1L AS key", "node").union(nodes.where("doc_id < 1010").selectExpr("2L", "node"))
-    ids = {r.node: r.doc_id for r in nodes.collect()}
+    sizes = materialise(texts.mapInArrow(forest._describe(5, 8), forest._DESCRIBED).selectExpr("doc_id AS node", "n_shingles AS size"), "sizes")
+    rows = sizes.selectExpr("1L AS key", "node", "size").union(sizes.where("node < 1010").selectExpr("2L", "node", "size"))
     # Fifty texts are one component already, of more nodes than a block.
-    joined = {n: min(n for n, i in ids.items() if 50 <= i < 100) for n, i in ids.items() if 50 <= i < 100}
-    comps = spark.createDataFrame(list(joined.items()), "node long, component long")
-    links = forest._exact(rows, comps, nodes, texts, 5, 80, 100).collect()
-    assert sorted(tuple(sorted((ids[r.a], ids[r.b]))) for r in links) == sorted((c, i) for i, (_, c) in want.items() if c != i)
+    comps = spark.createDataFrame([(i, 50) for i in range(50, 100)], "node long, component long")
+    links, n = forest._exact(rows, comps, texts, 5, 80, 100)
+    links = links.collect()
+    assert n == len(links) == 30 and sorted(tuple(sorted((r.a, r.b))) for r in links) == sorted((c, i) for i, (_, c) in want.items() if c != i)
 
 
 def test_blocks_give_what_joins_all_linked_components():
@@ -163,7 +162,7 @@ def test_components(spark):
     for a, b in edges:
         ra, rb = find(a), find(b)
         parent[max(ra, rb)] = min(ra, rb)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"))[0].collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
@@ -174,5 +173,12 @@ def test_shingles_fold_ascii_case_and_blanks_only():
     assert a.tolist() == b.tolist() and c.tolist() != d.tolist() and len(a) == 2
 
 
+def test_one_id_of_several_sets(spark, documents):
+    """A doc_id that stands for several texts is one document: what any of them is linked with belongs together."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = near_duplicates(documents([(5, a), (5, b), (9, a), (3, b), (7, b + " more"), (8, "something else")], edges=False)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(5, 3, False), (9, 3, False), (3, 3, True), (7, 3, False), (8, 8, True)} and len(rows) == 6
+
+
 def test_trees_follow_the_threshold():
     assert (1 - 0.85**forest.DEPTH) ** forest.trees_for(85, 100, 1e-6) <= 1e-6 and forest.trees_for(80, 100, 1e-6) > forest.trees_for(85, 100, 1e-6)
