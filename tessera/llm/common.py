@@ -12,7 +12,18 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held by Spark and by the Python worker.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Holds the session's Arrow batches to so many rows, unless they are smaller."""
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

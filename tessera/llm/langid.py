@@ -5,7 +5,7 @@ all its segmentations into pieces by the forward algorithm; a text's is the prod
 are its lower-cased runs of letters. The prediction is the language of highest probability, with equal priors.
 
 Training is expectation maximisation over word counts. Texts are sampled per language, about `per_lang` of each, by
-a hash of the text (documented bound; all texts where there are fewer). What the driver gets of each round is
+a hash of text and id (documented bound; all texts where there are fewer). What the driver gets of each round is
 one number for each piece and language.
 
 Defined results: a null text or one without letters is `und` with score 0; texts with equal probabilities go to
@@ -15,6 +15,7 @@ the language first in order; no training rows: every text is `und`.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import PurePath
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Slots, materialise, sums, words_of
 from tessera.llm.lattice import Lattice, Pieces, backward, build, forward
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: word signs but for digits and other numbers (as one half, a circled one, a Roman eight).
+LETTERS = re.compile(rf"[^\W\d_{re.escape(''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))}]+")
 #: Added to each piece's expected count, and the log probability of a code point outside the vocabulary.
 SMOOTH, OTHER = 0.05, -16.0
 #: Words that a worker remembers, and texts that are scored at once.
@@ -96,15 +98,16 @@ class Scorer:
         return out[:, :-1], out[:, -1]
 
 
-def train(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", per_lang: int = 2000, rounds: int = 3) -> Model:
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+def train(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", per_lang: int = 2000, rounds: int = 3, id_col: str = "doc_id") -> Model:
+    own = [F.col(c) for c in labelled.columns if c in (text_col, id_col)]  # copies of a text are drawn each for itself
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(*own).alias("draw"))
     found = dict(sorted(map(tuple, rows.groupBy("lang").count().collect())))
     langs = list(found)
     pieces = Pieces.shared(path, True)
     if not langs:
         return Model(path, [], np.zeros((len(pieces.ids), 0)))
     share = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, per_lang / n))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    sample = rows.where(F.pmod("draw", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -35,7 +35,8 @@ META = "▁"
 #: Text between places where a lattice falls apart: spaces and what follows, and line ends, which no piece holds.
 UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 OFFSET, SURE = 3.0, -30.0
-REMEMBERED, LEARNT, TOGETHER = 250_000, 20_000, 256
+#: Units and edges of lattices that a worker remembers, characters that are learnt and texts that are drawn at once.
+REMEMBERED, EDGES, LEARNT, TOGETHER = 250_000, 3_000_000, 150_000, 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,13 +128,21 @@ class Sampler:
 
     def encode(self, keys: np.ndarray, texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of the texts one after the other, and how many each has."""
-        if len(self.slots) > REMEMBERED:
+        if len(self.slots) > REMEMBERED or self.keys.size > EDGES:
             self.forget()
         codes, offsets, units = split_units(texts)
         slots = self.slots
         at = np.fromiter((slots[u] for u in units), np.int64, len(units))
-        for lo in range(0, len(slots.new), LEARNT):
-            self._learn(slots.new[lo : lo + LEARNT])
+        held: list[str] = []
+        size = 0
+        for unit in slots.new:
+            held.append(unit)
+            size += len(unit)
+            if size > LEARNT:
+                self._learn(held)
+                held, size = [], 0
+        if held:
+            self._learn(held)
         slots.new.clear()
         counts = np.diff(offsets)
         unit = at[codes] if len(codes) else np.zeros(0, np.int64)
@@ -194,7 +203,11 @@ class Decoder:
 
 
 def with_pieces(df: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", lossless_col: str = "lossless", seed: int = 0, temperature: float = 1.0) -> DataFrame:
-    """Adds a sampled segmentation of each whole text, array<int>, and whether it decodes to the text."""
+    """Adds a sampled segmentation of each whole text, array<int>, and whether it decodes to the text; columns of these names are replaced."""
+    drop = {ids_col.lower(), lossless_col.lower()}
+    if {key_col.lower(), text_col.lower()} & drop:
+        raise ValueError("the new columns take the place of the key or the text")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in drop])
     schema = T.StructType([*df.schema, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(lossless_col, T.BooleanType())])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

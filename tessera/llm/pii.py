@@ -5,12 +5,16 @@ which rewrites it and keeps, for every code point it writes, the place in the so
 
 1. homoglyphs: compatibility forms, full-width and look-alike letters of other scripts become ASCII letters and digits;
    zero-width signs go;
-2. spelled digits: runs of number words become digits;
-3. disguises: `(at)`, `[at]`, ` at `, `(dot)`, ` dot ` between name parts become `@` and `.`.
+2. spelled digits: number words of four languages become digits, those next to each other without the blanks between;
+3. signs: `plus` before a number, `dot` between numbers;
+4. disguises: `(at)`, `[at]`, ` at `, `(dot)`, ` dot ` (and the words for them in other languages, in any case)
+   between name parts become `@` and `.`; ` at ` only before a name with a dot.
 
 They are chained, so their maps compose; the same patterns are run on what comes out, and a span is mapped back to the
 source code points of its first and last letter. A span that no base span covers is added as `<kind>_hidden`.
-Only neighbourhoods in which a transducer changes something are read again.
+A text is rewritten stretch by stretch, between signs that no pattern and no transducer reads across, and only where
+a transducer may change something: the result is that of the whole text. `at` before a domain is read as a
+disguise even where it is a plain preposition (`look at example.com`).
 
 Kinds in order: email, ip, card, phone (base), then email_hidden, ip_hidden, card_hidden, phone_hidden.
 
@@ -81,18 +85,34 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
 #: Letters of other scripts that look like ASCII ones.
 LOOKALIKES = dict(zip("аВеԛіјКМНорРСсТуХхѕԁɡոԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα", "aBeqijKMHopPCcTyXxsdgnwABEZHIKMNOPTYXoa", strict=True))
 INVISIBLE = "​‌‍⁠﻿­"
-NUMBERS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?:{'|'.join(NUMBERS)})[\x20-]{{0,2}}){{6,}}(?<=[A-Za-z\x20-])(?![A-Za-z])", re.IGNORECASE | re.ASCII)
-NUMBER = re.compile("|".join(NUMBERS), re.IGNORECASE | re.ASCII)
+#: Number words in English, French, Spanish and German, from zero to nine, and what else stands for zero.
+NUMBERS = {
+    w: str(i)
+    for line in ("zero one two three four five six seven eight nine", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve", "null eins zwei drei vier fünf sechs sieben acht neun", "oh")
+    for i, w in enumerate(line.split())
+}
+#: Words for the signs of addresses and numbers.
+AT, DOT, PLUS = "at|arobase|arroba", "dot|point|punto|punkt", "plus|más"
+_WORD = "|".join(sorted(NUMBERS, key=len, reverse=True))
+#: Number words that stand next to each other, with their blanks or hyphens; ends of words are no letters on either side.
+SPELLED = re.compile(rf"(?<![^\W\d_])(?:{_WORD})(?:[\x20-]{{1,2}}(?:{_WORD}))*(?![^\W\d_])", re.IGNORECASE)
+NUMBER = re.compile(_WORD, re.IGNORECASE)
+SIGN = re.compile(rf"(?<![^\W\d_])(?:({PLUS})\x20+(?=[(0-9])|(?<=[0-9]\x20)({DOT})\x20+(?=[0-9]))", re.IGNORECASE)
+BEFORE_DOT = re.compile(r"(?<=[0-9])\x20+(?=\.[0-9])")
 _NAME = r"[A-Za-z0-9_%+-]"
-BRACKETED = re.compile(rf"(?<={_NAME})\x20?[(\[{{<]\x20?(at|dot|@|\.)\x20?[)\]}}>]\x20?(?={_NAME})", re.IGNORECASE | re.ASCII)
-SPACED = re.compile(rf"(?<![A-Za-z0-9.%+-])([A-Za-z0-9._%+-]+)\x20(?:at|AT)\x20([A-Za-z0-9-]+(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+BRACKETED = re.compile(rf"(?<={_NAME})\x20{{0,3}}[(\[{{<]\x20?({AT}|{DOT}|@|\.)\x20?[)\]}}>]\x20{{0,3}}(?={_NAME})", re.IGNORECASE)
+SPACED = re.compile(rf"(?<![A-Za-z0-9.%+-])([A-Za-z0-9._%+-]+)(\x20+(?:{AT})\x20+)([A-Za-z0-9-]+(?:(?:\x20+(?:{DOT})\x20+|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.IGNORECASE)
+SPACED_DOT = re.compile(rf"\x20+(?:{DOT})\x20+|\.", re.IGNORECASE)
+HALF = re.compile(rf"(?<=@)([A-Za-z0-9-]+(?:(?:\x20+(?:{DOT})\x20+|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.IGNORECASE)
 ODD = re.compile(rf"[{INVISIBLE}{''.join(LOOKALIKES)}！-～①-⑨²³¹⁰-₉\U0001d400-\U0001d7ff]")
-#: What the later transducers could change, and how much of the text around a change is read again.
-CLUE = re.compile(r"[(\[{<]\x20?(?:at|dot|@|\.)\x20?[)\]}>]|\x20(?:at|dot)\x20|(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)[\x20-]", re.IGNORECASE | re.ASCII)
-AROUND = 80
+#: What any transducer may change: these words, these signs, and what is ODD.
+WORDS = re.compile(r"[^\W\d_]+")
+CLUES = frozenset([*NUMBERS, *f"{AT}|{DOT}|{PLUS}".split("|")])
+SIGNS = re.compile(r"[(\[{<]\x20?[@.]\x20?[)\]}>]")
+#: Signs that no pattern and no transducer reads across: what stands between two of them is rewritten by itself.
+BARRIER = re.compile(r"[\x00-\x1f!\"#$&'*,/:;=?\\^`|~]")
 
-Traced = tuple[str, list[int]]
+Traced = tuple[str, list[int], list[int]]
 
 
 @cache
@@ -102,80 +122,98 @@ def _letter(c: str) -> str:
     return LOOKALIKES.get(c) or unicodedata.normalize("NFKC", c)
 
 
-def homoglyphs(text: str, at: list[int]) -> Traced:
-    out, back = [], []
-    for c, i in zip(text, at, strict=True):
-        for d in c if c.isascii() else _letter(c):
+def homoglyphs(text: str, start: list[int], end: list[int]) -> Traced:
+    if text.isascii():
+        return text, start, end
+    out, own, past = [], [], []
+    for c, i, j in zip(text, start, end, strict=True):
+        # What it stands for must not part what is read together.
+        plain = c if c.isascii() else _letter(c)
+        for d in plain if not BARRIER.search(plain) else c:
             out.append(d)
-            back.append(i)
-    return "".join(out), back
+            own.append(i)
+            past.append(j)
+    return "".join(out), own, past
 
 
-def rewrite(text: str, at: list[int], pattern: re.Pattern, made) -> Traced:
-    """Replaces matches by what `made` gives: pieces of (written text, place of its source in the match)."""
-    out, back, last = [], [], 0
+def rewrite(traced: Traced, pattern: re.Pattern, made) -> Traced:
+    """Replaces matches by what `made` gives: (text, begin, end) in the match's text; a text of its source's length maps sign by sign."""
+    text, start, end = traced
+    out, own, past, last = [], [], [], 0
     for m in pattern.finditer(text):
         out.append(text[last : m.start()])
-        back += at[last : m.start()]
-        for piece, place in made(m):
+        own += start[last : m.start()]
+        past += end[last : m.start()]
+        for piece, a, b in made(m):
             out.append(piece)
-            back += [at[place + (k if len(piece) > 1 else 0)] for k in range(len(piece))]
+            own += start[a:b] if len(piece) == b - a else [start[a]] * len(piece)
+            past += end[a:b] if len(piece) == b - a else [end[b - 1]] * len(piece)
         last = m.end()
-    return "".join([*out, text[last:]]), back + at[last:]
+    if not last:
+        return traced
+    return "".join([*out, text[last:]]), own + start[last:], past + end[last:]
 
 
-def spelled_digits(text: str, at: list[int]) -> Traced:
-    return rewrite(text, at, SPELLED, lambda m: [(NUMBERS[n[0].lower()], n.start()) for n in NUMBER.finditer(text, m.start(), m.end())] + [(" ", m.end() - 1)] * text[m.start() : m.end()].endswith(" "))
+def spelled_digits(traced: Traced) -> Traced:
+    return rewrite(traced, SPELLED, lambda m: [(NUMBERS[n[0].casefold()], n.start(), n.end()) for n in NUMBER.finditer(m.string, m.start(), m.end())])
 
 
-def disguises(text: str, at: list[int]) -> Traced:
-    text, at = rewrite(text, at, BRACKETED, lambda m: [("@" if m[1].lower() in ("at", "@") else ".", m.start(1))])
+def signs(traced: Traced) -> Traced:
+    """Plus before a number, and dots between numbers; the blank before the dot goes as well."""
+    traced = rewrite(traced, SIGN, lambda m: [("+", m.start(1), m.end(1))] if m[1] else [(".", m.start(2), m.end(2))])
+    return rewrite(traced, BEFORE_DOT, lambda m: [])
 
-    def plain(m: re.Match) -> list[tuple[str, int]]:
-        out, place = [(m[1], m.start(1)), ("@", m.end(1) + 1)], m.start(2)
-        for k, part in enumerate(re.split(r"(\x20(?:dot|DOT)\x20)", m[2])):
-            out.append((part, place) if k % 2 == 0 else (".", place + 1))
-            place += len(part)
-        return out
 
-    return rewrite(text, at, SPACED, plain)
+def disguises(traced: Traced) -> Traced:
+    def dotted(m: re.Match, group: int) -> list[tuple[str, int, int]]:
+        out, place = [], m.start(group)
+        for d in SPACED_DOT.finditer(m.string, m.start(group), m.end(group)):
+            out += [(m.string[place : d.start()], place, d.start()), (".", d.start(), d.end())]
+            place = d.end()
+        return [*out, (m.string[place : m.end(group)], place, m.end(group))]
 
+    traced = rewrite(traced, BRACKETED, lambda m: [("." if m[1] == "." or re.fullmatch(DOT, m[1], re.IGNORECASE) else "@", m.start(1), m.end(1))])
+    traced = rewrite(traced, SPACED, lambda m: [(m[1], m.start(1), m.end(1)), ("@", m.start(2), m.end(2)), *dotted(m, 3)])
+    return rewrite(traced, HALF, lambda m: dotted(m, 1))
 
-def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around what a transducer could change, joined where they touch, cut at no letter."""
-    places = [(m.start(), m.end()) for m in CLUE.finditer(text)]
+
+def transduced(text: str) -> Traced:
+    """What the chained transducers make of a text, with the places in the source where each code point starts and ends."""
+    places = list(range(len(text) + 1))
+    return disguises(signs(spelled_digits(homoglyphs(text, places[:-1], places[1:]))))
+
+
+def _stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches between barriers in which a transducer could change something."""
+    places = [m.start() for m in WORDS.finditer(text) if m[0].casefold() in CLUES]
+    more = [m.start() for m in SIGNS.finditer(text)]
     if not text.isascii():
-        places = sorted([*places, *((m.start(), m.end()) for m in ODD.finditer(text))])
-    out: list[list[int]] = []
-    for a, b in places:
-        a, b = max(0, a - AROUND), min(len(text), b + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    grown = []
-    for a, b in out:
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        grown.append((a, b))
-    return grown
+        more += (m.start() for m in ODD.finditer(text))
+    if more:
+        places = sorted([*places, *more])
+    done = 0
+    for at in places:
+        if at < done:
+            continue
+        lo = at
+        while lo > done and not BARRIER.match(text, lo - 1):
+            lo -= 1
+        found = BARRIER.search(text, at)
+        done = found.start() if found else len(text)
+        yield lo, done
 
 
 def hidden(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = set()
-    for lo, hi in _windows(text):
+    for lo, hi in _stretches(text):
         source = text[lo:hi]
-        plain, at = disguises(*spelled_digits(*homoglyphs(source, list(range(len(source))))))
+        plain, start, end = transduced(source)
         if plain == source:
             continue
         for a, kind, b in patterns(plain):
-            start, end = lo + at[a], lo + at[b - 1] + 1
-            while end < hi and text[end : end + 1].isalpha() and text[end - 1].isalpha() and NUMBER.match(text, lo + at[b - 1]):
-                end += 1  # a digit that was spelled ends with its word
-            if not any(s <= start and end <= e for s, _, e in base):
-                out.add((start, kind + 4, end))
+            s, e = lo + start[a], lo + end[b - 1]
+            if not any(x <= s and e <= y for x, _, y in base):
+                out.add((s, kind + 4, e))
     return sorted(out)
 
 

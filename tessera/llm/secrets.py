@@ -12,8 +12,9 @@ a term for guessing by number of parts:
 It is worked out by dynamic programming over end positions and numbers of parts. Cost is in log10 of guesses.
 
 Kinds in order: assign, access, hex (base), then guess (a context value of cost `threshold` or more). Values are priced
-whole; segmentations are dropped as soon as their parts alone, a lower bound, cost the threshold. What is repeated is
-no repeat itself if it is longer than a word (`WORD`).
+whole; segmentations are dropped as soon as their parts alone, a lower bound, cost the threshold. A repeat is of what is no
+repeat itself, as often as it follows. Numbers of parts are followed as far as they can be cheapest: k parts cost 4 (k - 1) at
+least, by the term for shorter guesses, and brute force of the whole value is always there.
 
 Defined results: a null text is an empty one; an empty text has no spans and the digest of nothing; spans are of code
 points, end exclusive; rows that repeat are judged each.
@@ -38,8 +39,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of `[0-9a-f]+` that are long enough
 #: What may name a credential, then the value up to white space or a quote.
 CONTEXT = re.compile(r"""(?<![A-Za-z])(password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|login|credentials?|bearer|pin)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)["']?([^\s"'`<>,;]+)""", re.IGNORECASE | re.ASCII)
-WORD, BRUTE = 24, 1.0  # longest word; log10 of 10 guesses a character
-PARTS = 8
+BRUTE = 1.0  # log10 of 10 guesses a character
 THRESHOLD = 10.0
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@8310!5$7+", "aabeloisstt")
@@ -63,6 +63,11 @@ def ranks(path: str) -> dict[str, int]:
     return out
 
 
+@cache
+def longest(path: str) -> int:
+    return max(map(len, ranks(path)), default=0)
+
+
 def _word_cost(part: str, known: dict[str, int]) -> float | None:
     low = part.lower()
     plain = low.translate(LEET)
@@ -93,7 +98,7 @@ def _walk_end(value: str, i: int) -> tuple[int, int]:
 def _parts_from(value: str, i: int, known: dict[str, int], path: str, enough: float) -> Iterator[tuple[int, float]]:
     """(end, cost) of the parts that start at i; brute force only as far as it costs less than `enough`."""
     n = len(value)
-    for j in range(i + 3, min(n, i + WORD) + 1):
+    for j in range(i + 3, min(n, i + longest(path)) + 1):
         cost = _word_cost(value[i:j], known)
         if cost is not None:
             yield j, cost
@@ -109,7 +114,7 @@ def _parts_from(value: str, i: int, known: dict[str, int], path: str, enough: fl
         if value[i + size] != value[i]:
             continue
         unit, times = value[i : i + size], 1
-        if not value.startswith(unit, i + size) or size > WORD and (unit + unit).find(unit, 1) < size:
+        if not value.startswith(unit, i + size) or (unit + unit).find(unit, 1) < size:
             continue
         while value.startswith(unit, i + times * size):
             times += 1
@@ -123,22 +128,29 @@ def _parts_from(value: str, i: int, known: dict[str, int], path: str, enough: fl
 def guess_cost(value: str, path: str, enough: float = math.inf) -> float:
     """log10 of guesses by the cheapest segmentation; any number from `enough` on if that is not less."""
     known, n = ranks(path), len(value)
+    parts = 1 + int(min(enough, BRUTE * n + 1) / 4)
     least: list[list[float] | None] = [None] * (n + 1)
-    least[0] = [0.0] + [math.inf] * PARTS
+    least[0] = [0.0] + [math.inf] * parts
     for i in range(n):
         if (own := least[i]) is None:
             continue
         for j, cost in _parts_from(value, i, known, path, enough):
-            for k in range(PARTS):
+            for k in range(parts):
                 c = own[k] + cost
                 if c < enough:
                     if (to := least[j]) is None:
-                        to = least[j] = [math.inf] * (PARTS + 1)
+                        to = least[j] = [math.inf] * (parts + 1)
                     to[k + 1] = min(to[k + 1], c)
     if not n:
         return 0.0
     # k parts may come in k! orders, and shorter guesses of as many parts come first.
-    return min((c + math.log10(math.factorial(k) + 1e4 ** (k - 1) * 10 ** -min(c, 300)) for k, c in enumerate(least[n] or []) if k and c < math.inf), default=enough)
+    return min((whole_cost(k, c) for k, c in enumerate(least[n] or []) if k and c < math.inf), default=enough)
+
+
+def whole_cost(k: int, parts: float) -> float:
+    """log10 of (k! times the parts' guesses, plus 10000 ** (k - 1)), of sums in logarithms."""
+    a, b = parts + math.lgamma(k + 1) / math.log(10), 4.0 * (k - 1)
+    return max(a, b) + math.log10(1 + 10 ** -abs(a - b))
 
 
 def scan(text: str, path: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:

@@ -7,7 +7,9 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm.secrets import KINDS, find_secrets, guess_cost, mask_secrets, redact, scan
+from tessera.llm.common import table
+from tessera.llm.op6_secrets import op6_secrets
+from tessera.llm.secrets import KINDS, _parts_from, find_secrets, guess_cost, mask_secrets, ranks, redact, scan, whole_cost
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORD = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
@@ -53,6 +55,40 @@ def test_values_are_priced_whole():
         assert (guess_cost(value, PATH, 10.0) >= 10) == (guess_cost(value, PATH) >= 10), value
 
 
+def every(value):
+    """The least whole cost over all segmentations, each of which is written out."""
+    n, least = len(value), float("inf")
+    parts = [list(_parts_from(value, i, ranks(PATH), PATH, float("inf"))) for i in range(n)]
+    todo = [(0, 0, 0.0)]
+    while todo:
+        at, k, cost = todo.pop()
+        if at == n:
+            least = min(least, whole_cost(k, cost))
+        else:
+            todo += [(j, k + 1, cost + c) for j, c in parts[at]]
+    return least
+
+
+def test_costs_against_every_segmentation():
+    rng = random.Random(2)
+    for _ in range(250):
+        value = "".join(rng.choice(["ab", "a", "cat", "qwe", "1990", "7", "K", "0", "dog"]) for _ in range(rng.randint(1, 5)))[:11]
+        assert abs(guess_cost(value, PATH) - every(value)) < 1e-9, value
+    many = "".join(rng.choice(["cat", "dog", "sun", "tree"]) + str(rng.randrange(10)) for _ in range(12))  # more parts than eight
+    assert guess_cost(many, PATH) < len(many) + 1 and guess_cost("recentlychampionshipchampionshipchampionship", PATH) < 8
+
+
+def test_query(spark, sample):
+    got = {r.doc_id: r for r in op6_secrets(spark, sample).collect()}
+    rows = table(spark, sample, "documents").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        spans = [f"{KINDS[k]}:{a}:{b}" for a, k, b in base(r.text or "")]
+        own = got[r.doc_id]
+        assert own.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and set(spans) <= set(own.spans.split(",") if own.spans else [])
+        assert [own.n_assign, own.n_access, own.n_hex] == [sum(s.startswith(k + ":") for s in spans) for k in KINDS[:3]]
+
+
 def test_edges(documents):
     df = documents([(1, "token = 'abcdefgh12345' \U0001f600 secret:aaaabbbbcccc"), (2, "deadbeef" * 4)])
     got = {r.doc_id: r for r in df.select("doc_id", find_secrets(F.col("text"), PATH).alias("s")).select("doc_id", "s.*").collect()}
