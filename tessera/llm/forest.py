@@ -40,7 +40,7 @@ from tessera.llm.common import counted, materialise, mix64, parts, words_of
 
 #: Minima of which a sketch keeps the low bytes, in the first forest and in the second, where more pairs lie near the
 #: threshold; and by how many standard deviations it may fall short of the threshold.
-SKETCH, WIDE, SLACK = 64, 256, 5.0
+SKETCH, WIDE, SLACK = 64, 512, 5.0
 #: Nodes to a file of what regions hold of them, where Spark would make more files.
 NODES = 2000
 #: Minima of a tree's own in the first forest and in the second.
