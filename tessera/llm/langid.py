@@ -15,7 +15,6 @@ the language first in order; no training rows: every text is `und`.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import PurePath
@@ -29,14 +28,22 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Slots, materialise, sums, words_of
 from tessera.llm.lattice import Lattice, Pieces, backward, build, forward
 
-#: Runs of letters: word signs but for digits and other numbers (as one half, a circled one, a Roman eight).
-LETTERS = re.compile(rf"[^\W\d_{re.escape(''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))}]+")
+#: Runs of word signs but for digits; these are letters, and other numbers (one half, a circled one, a Roman eight).
+RUNS = re.compile(r"[^\W\d_]+")
 #: Added to each piece's expected count, and the log probability of a code point outside the vocabulary.
 SMOOTH, OTHER = 0.05, -16.0
 #: Words that a worker remembers, and texts that are scored at once.
 REMEMBERED, LEARNT, TOGETHER = 300_000, 20_000, 256
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text, lower-cased."""
+    runs = RUNS.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [x for r in runs for x in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
+
+
 class Model:
     """Piece probabilities by language; small (pieces x languages) and sent to every task."""
 
@@ -85,7 +92,7 @@ class Scorer:
         slots, known = self.slots, len(self.slots)
         at = np.fromiter((slots[t] for t in tokens), np.int64, len(tokens))
         if slots.new:
-            runs = [LETTERS.findall(t.lower()) for t in slots.new]
+            runs = [letters(t) for t in slots.new]
             counts = np.array([len(r) for r in runs])
             flat = [w for r in runs for w in r]
             inner = self.model.words(flat) if flat else np.zeros((0, len(self.model.langs)))
@@ -113,7 +120,7 @@ def train(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str
         for batch in batches:
             n: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n.update((lang, w) for w in LETTERS.findall(text.lower()))
+                n.update((lang, w) for w in letters(text))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(n.values(), pa.int64())], ["lang", "word", "n"])
 
     words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.langid import is_held_out, predict, train
+from tessera.llm.langid import OTHER, is_held_out, letters, predict, train
+from tessera.llm.lattice import Pieces
 from tessera.llm.op5_langid import op5_langid
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,3 +39,34 @@ def test_nothing_to_learn_from(spark, documents):
     none = train(documents().where("false"), PATH)
     assert {r.p.lang for r in documents().select(predict(none, F.col("text")).alias("p")).collect()} == {"und"}
     assert spark.range(1).select(F.lit(None).cast("long").alias("doc_id")).where(is_held_out()).count() == 0
+
+
+def test_numbers_are_no_letters(spark, sample):
+    model = train(table(spark, sample, "documents"), PATH)
+    texts = ["½", "12²", "① Ⅷ", "__", "a½b", "les mots français"]
+    got = [tuple(r.p) for r in spark.createDataFrame([(t,) for t in texts], "text string").select(predict(model, F.col("text")).alias("p")).collect()]
+    assert got[:4] == [("und", 0.0)] * 4 and all(lang != "und" for lang, _ in got[4:]) and letters("A½b² ǅx") == ["a", "b", "ǆx"]
+
+
+def every(word, model, k):
+    """A word's probability in a language: the sum over all its segmentations, each written out."""
+    pieces = Pieces.shared(PATH, True)
+    rank = {t: i for i, t in enumerate(pieces.text)}
+    text, total, todo = "▁" + word, 0.0, [(0, 0.0)]
+    while todo:
+        at, logp = todo.pop()
+        if at == len(text):
+            total += np.exp(logp)
+            continue
+        found = [(j, model.logp[rank[text[at:j]], k]) for j in range(at + 1, len(text) + 1) if text[at:j] in rank]
+        todo += [(j, logp + x) for j, x in (found if any(j == at + 1 for j, _ in found) else [*found, (at + 1, OTHER)])]
+    return np.log(total)
+
+
+def test_scores_against_every_segmentation(spark, sample):
+    model = train(table(spark, sample, "documents"), PATH)
+    words = ["the", "maison", "straße", "niño", "q", "zzxqj", "日本", "unknowable"]
+    got = model.words(words)
+    for i, w in enumerate(words):
+        for k in range(len(model.langs)):
+            assert abs(got[i, k] - every(w, model, k)) < 1e-9, w
