@@ -19,6 +19,8 @@ URI; CR LF within header values becomes a space; rows with one page_id and equal
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,15 +84,36 @@ def response_record(url: Column, html: Column, key: Column, date: str = DATE) ->
     return record(head, http)
 
 
+#: The entities that most pages hold, `amp` last; all others are looked up one by one.
+COMMON = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "middot": "·", "copy": "©", "amp": "&"}
+RARE = rf"&(?!(?:{'|'.join(COMMON)});)(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def resolved(text: Column, names: dict[str, int] = name2codepoint) -> Column:
+    """Every entity of a text resolved once: by number, or by the standard's names; what is none stays as it is."""
+    known = F.create_map(*[F.lit(x) for n, c in names.items() for x in (n, " " if n == "nbsp" else chr(c))])
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.substring(name, 2, 8)
+        number = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 8), 16, 10)).when(digits.rlike("^[0-9]+$"), digits).cast("long")
+        fits = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        sign = F.when(fits, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.try_element_at(known, name))
+        return F.when((name == "") | sign.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(sign, F.substr(part, F.length(name) + 2)))
+
+    parts = F.split(text, "&")
+    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+
+
 def plain_text(html: Column) -> Column:
     """Text of HTML: no comments, scripts, styles or tags; block ends are line ends; entities resolved; blanks folded."""
     t = F.regexp_replace(html, r"(?s)<(?:!--.*?-->|(?i:(script|style|head)\b[^>]*>.*?</\1\s*>))", " ")
     t = F.regexp_replace(t, r"<(?i:/?(?:br|p|div|h[1-6]|li|tr|article|nav|footer|title)\b)[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
     whole = t
-    for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("middot", "·"), ("copy", "©"), ("amp", "&")):
+    for name, sign in COMMON.items():
         whole = F.replace(whole, F.lit(f"&{name};"), F.lit(sign))
-    t = F.when(F.contains(t, F.lit("&")), whole).otherwise(t)
+    t = F.when(~F.contains(t, F.lit("&")), t).when(t.rlike(RARE), resolved(t)).otherwise(whole)
     t = F.regexp_replace(t, r"[ \t\r\f]{2,}|[\t\r\f]", " ")
     t = F.regexp_replace(t, r"(?: \n|\n )[ \n]*|\n{2,}[ \n]*", "\n")
     return F.btrim(t, F.lit(" \n"))
@@ -110,8 +133,13 @@ def derive(responses: DataFrame, record_col: str = "record") -> DataFrame:
         "conversion_id": record_id(F.lit("conversion"), F.col("response_id")),
     })
     source = F.substring_index(F.col("_http"), END, 1)
-    kept = F.transform(F.slice(F.split(source, CRLF), 2, 1000), lambda x: F.concat(F.lit("source-header: "), x))
-    body = F.concat_ws(CRLF, F.array(F.concat(F.lit("source-status: "), F.element_at(F.split(source, CRLF), 1))), kept, F.array(F.concat(F.lit("title: "), one_line(F.col("title"))), F.concat(F.lit("language: "), one_line(F.col("html_lang")))), F.transform("links", lambda x: F.concat(F.lit("outlink: "), one_line(x))))
+    # All header lines after the status line, each named a source's: no line is cut out and none is counted.
+    lines = F.substr(source, F.locate(CRLF, source) + len(CRLF))
+    kept = F.when(F.contains(source, F.lit(CRLF)), F.concat(F.lit("source-header: "), F.replace(lines, F.lit(CRLF), F.lit(f"{CRLF}source-header: "))))
+    plain = F.array_join("links", f"{CRLF}outlink: ")
+    broken = F.array_join(F.transform("links", one_line), f"{CRLF}outlink: ")
+    outlinks = F.when(F.size("links") > 0, F.concat(F.lit("outlink: "), F.when(F.array_join("links", "").rlike(r"[\r\n]"), broken).otherwise(plain)))
+    body = F.concat_ws(CRLF, F.concat(F.lit("source-status: "), F.substring_index(source, CRLF, 1)), kept, F.concat(F.lit("title: "), one_line(F.col("title"))), F.concat(F.lit("language: "), one_line(F.col("html_lang"))), outlinks)
 
     def linked(kind: str, own: str, block: Column, content: str, *more: tuple[str, Column]) -> Column:
         head = fields(

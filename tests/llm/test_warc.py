@@ -62,6 +62,18 @@ def test_links_between_records(pages):
     assert all("evil" not in line for r in made for line in r.record.split("\r\n") if line.startswith("evil"))
 
 
+def test_all_headers_and_entities(spark):
+    """More header lines than a thousand; entities by name and number, each resolved once; what is none stays."""
+    source = "HTTP/1.1 200 OK\r\n" + "\r\n".join(f"X-{i}: {i}" for i in range(1200))
+    texts = ["caf&eacute; &#233; &#xE9; &amp;lt; &#x1F600; &nosuch; & &; &#0; &#xD800; &mdash;&nbsp;x", "&lt;b&gt; &amp;amp; &copy;"]
+    rows = [(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\n\r\n{source}\r\n\r\n<a href='/x\ny'>1</a><p>{t}</p>",) for i, t in enumerate(texts)]
+    made = derive(spark.createDataFrame(rows, "record string")).collect()
+    for r in made:
+        block = r.metadata.split("\r\n\r\n", 1)[1].split("\r\n")
+        assert block[0] == "source-status: HTTP/1.1 200 OK" and block[1:1201] == [f"source-header: X-{i}: {i}" for i in range(1200)] and block[-1] == "outlink: /x y"
+    assert [r.text for r in made] == ["1\ncaf\xe9 \xe9 \xe9 &lt; \U0001f600 &nosuch; & &; &#0; &#xD800; \u2014 x", "1\n<b> &amp; \xa9"]
+
+
 def test_query(spark, sample):
     got = op4_warc(spark, sample).collect()
     ids = {r.record_id for r in got if r.warc_type == "response"}
