@@ -105,18 +105,26 @@ def resolved(text: Column, names: dict[str, int] = name2codepoint) -> Column:
     return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of HTML: no comments, scripts, styles or tags; block ends are line ends; entities resolved; blanks folded."""
+def bare_text(html: Column) -> Column:
+    """HTML without comments, scripts, styles and tags; block ends are line ends."""
     t = F.regexp_replace(html, r"(?s)<(?:!--.*?-->|(?i:(script|style|head)\b[^>]*>.*?</\1\s*>))", " ")
     t = F.regexp_replace(t, r"<(?i:/?(?:br|p|div|h[1-6]|li|tr|article|nav|footer|title)\b)[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    whole = t
+    return F.regexp_replace(t, r"<[^>]*>", "")
+
+
+def without_entities(bare: Column) -> Column:
+    """Entities resolved. Reads its column several times, so let that be a column of a frame."""
+    t = whole = bare
     for name, sign in COMMON.items():
         whole = F.replace(whole, F.lit(f"&{name};"), F.lit(sign))
-    t = F.when(~F.contains(t, F.lit("&")), t).when(t.rlike(RARE), resolved(t)).otherwise(whole)
-    t = F.regexp_replace(t, r"[ \t\r\f]{2,}|[\t\r\f]", " ")
-    t = F.regexp_replace(t, r"(?: \n|\n )[ \n]*|\n{2,}[ \n]*", "\n")
-    return F.btrim(t, F.lit(" \n"))
+    return F.when(~F.contains(t, F.lit("&")), t).when(t.rlike(RARE), resolved(t)).otherwise(whole)
+
+
+def folded(text: Column) -> Column:
+    """Runs of blanks are one blank, blanks and breaks around a break one break. Reads its column several times as well."""
+    blanks = [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r", "\f")]
+    t = F.when(blanks[0] | blanks[1] | blanks[2] | blanks[3], F.regexp_replace(text, r"[ \t\r\f]{2,}|[\t\r\f]", " ")).otherwise(text)
+    return F.btrim(F.regexp_replace(t, r" ?\n[ \n]*+", "\n"), F.lit(" \n"))
 
 
 def derive(responses: DataFrame, record_col: str = "record") -> DataFrame:
@@ -125,13 +133,14 @@ def derive(responses: DataFrame, record_col: str = "record") -> DataFrame:
     http = block_of(rec)
     df = responses.withColumns({"_http": http, "_html": _written(http), "response_id": header(rec, "WARC-Record-ID"), "target_uri": header(rec, "WARC-Target-URI"), "_date": header(rec, "WARC-Date"), "payload_digest": header(rec, "WARC-Payload-Digest")})
     df = df.withColumns({
-        "text": plain_text(F.col("_html")),
+        "_bare": bare_text(F.col("_html")),
         "links": F.regexp_extract_all(F.col("_html"), F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'>]*)[\"']"), F.lit(1)),
         "title": F.regexp_replace(F.regexp_extract("_html", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), r"\s+", " "),
         "html_lang": F.regexp_extract("_html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']([^\"'>]*)[\"']", 1),
         "metadata_id": record_id(F.lit("metadata"), F.col("response_id")),
         "conversion_id": record_id(F.lit("conversion"), F.col("response_id")),
     })
+    df = df.withColumn("_plain", without_entities(F.col("_bare"))).withColumn("text", folded(F.col("_plain")))
     source = F.substring_index(F.col("_http"), END, 1)
     # All header lines after the status line, each named a source's: no line is cut out and none is counted.
     lines = F.substr(source, F.locate(CRLF, source) + len(CRLF))
@@ -149,7 +158,7 @@ def derive(responses: DataFrame, record_col: str = "record") -> DataFrame:
         return record(head, block)
 
     df = df.withColumn("_fields", body)
-    return df.withColumns({"metadata": linked("metadata", "metadata_id", F.col("_fields"), "application/warc-fields"), "conversion": linked("conversion", "conversion_id", F.col("text"), "text/plain", ("WARC-Concurrent-To", F.col("metadata_id")))}).drop("_http", "_html", "_date", "_fields", "html_lang")
+    return df.withColumns({"metadata": linked("metadata", "metadata_id", F.col("_fields"), "application/warc-fields"), "conversion": linked("conversion", "conversion_id", F.col("text"), "text/plain", ("WARC-Concurrent-To", F.col("metadata_id")))}).drop("_http", "_html", "_bare", "_plain", "_date", "_fields", "html_lang")
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
