@@ -184,7 +184,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, width: int, num: int,
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - F.col("shared")
-    return counted(both.withColumn("shared", shared).where(F.col("shared").cast("long") * den >= union.cast("long") * num).select("a", "b"), "forest-links", parts(n, 20_000))
+    return counted(both.withColumn("shared", shared).where(F.col("shared").cast("long") * den >= union.cast("long") * num).select("a", "b"), "forest-links", parts(n, 2_000))
 
 
 def components(links: DataFrame, name: str = "components", most: int | None = None) -> tuple[DataFrame, int]:
