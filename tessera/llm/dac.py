@@ -4,9 +4,12 @@ An id is cut into chunks of fixed widths, lowest bits first. Level k holds the k
 reaches it, a bitmap that tells which of those ids go on to level k + 1, and a directory of the bitmap's
 ranks, so any token of a segment is found by following ranks and without decoding its neighbours.
 
-A token file is a folder that Spark writes: each row is a segment (`part`, `seq`, `before`, `n_docs`,
-`n_tokens`, `data`), whole documents in ascending doc_id order. `data` is a self-contained binary; see `pack`.
+A token file is a folder that Spark writes: each row is a segment (`part`, `seq`, `before`, `n_docs`, `n_tokens`, `docs`,
+`data`), whole documents in ascending doc_id order. `data` is a self-contained binary; see `pack`. It is stored as it is,
+not compressed, one segment to a row group; `docs` is a column of its own that tells where each document stands. So a token
+is found by reading the narrow columns, then one row group, then a few bytes for each level of its code.
 
+Defined results for positions: those outside a document, of null or unknown documents and null ones have no row.
 Defined results: a null text is an empty one; an empty text holds the end id alone; rows with the same
 doc_id each have an entry, ordered by text; null doc_ids come first; an empty table gives an empty file.
 """
@@ -28,7 +31,10 @@ from tessera.llm.wordbpe import WordEncoder
 MAGIC = b"DAC1"
 #: Bits between two entries of a rank directory.
 STRIDE = 512
-SEGMENTS = "part int, seq int, before long, n_docs int, n_tokens long, data binary"
+SEGMENTS = "part int, seq int, before long, n_docs int, n_tokens long, docs array<struct<doc_id:long,at:long,n:long>>, data binary"
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))), ("data", pa.binary())])
+#: Positions that one task looks up in one segment, about.
+LOOKUPS = 1 << 16
 
 
 def _chunk_bytes(chunks: np.ndarray, width: int) -> bytes:
@@ -137,7 +143,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, id_col: st
 
         def segment() -> pa.RecordBatch:
             data = pack(ids, np.array(lengths), np.concatenate(codes), widths)
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_docs": len(ids), "n_tokens": held, "data": data}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("data", pa.binary())]))
+            starts = (np.cumsum(lengths) - lengths).tolist()
+            docs = [{"doc_id": d, "at": at, "n": n} for d, at, n in zip(ids, starts, lengths, strict=True)]
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_docs": len(ids), "n_tokens": held, "docs": docs, "data": data}], schema=_ARROW)
 
         for batch in batches:
             found, sizes = encoder.encode(batch.column(1))
@@ -155,11 +163,12 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, id_col: st
             yield segment()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SEGMENTS).write.parquet(path)
+    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SEGMENTS).write.options(**{"compression": "none", "parquet.block.row.count.limit": 1, "parquet.enable.dictionary": "false"}).parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and its segment's place.
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, its segment's place, and the id in its middle
+    (at n_tokens // 2), drawn by itself.
 
     The driver sums the tokens of each part, one number for each partition of the writing job.
     """
@@ -174,7 +183,40 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 s = Segment(data.as_py())
                 ids, first = s.ids().astype("<u4"), base[part.as_py()] + before.as_py()
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(s.offsets[:-1], s.offsets[1:], strict=True)]
-                n = len(crcs)
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(first + s.offsets[:-1]), pa.array(np.diff(s.offsets)), pa.array(crcs, pa.int64()), pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "part", "seq"])
+                n, middle = len(crcs), [s.token((a + b) // 2) for a, b in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(first + s.offsets[:-1]), pa.array(np.diff(s.offsets)), pa.array(crcs, pa.int64()), pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int32()), pa.array(middle, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "part", "seq", "middle_id"])
 
-    return segments.select("part", "seq", "before", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int")
+    return segments.select("part", "seq", "before", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int, middle_id long")
+
+
+def _places(spark: SparkSession, path: str) -> DataFrame:
+    """Where each document stands: part, seq, at, n by doc_id, from the narrow columns alone."""
+    return spark.read.schema(SEGMENTS).parquet(path).select("part", "seq", F.inline("docs"))
+
+
+def token_at(spark: SparkSession, path: str, doc_id: int, position: int) -> int:
+    """One id of one document, of the first in the file where several share the doc_id."""
+    place = _places(spark, path).where((F.col("doc_id") == doc_id) & (F.lit(position) >= 0) & (F.lit(position) < F.col("n"))).orderBy("part", "seq", "at").first()
+    if place is None:
+        raise IndexError((doc_id, position))
+    segment = spark.read.schema(SEGMENTS).parquet(path).where((F.col("part") == place.part) & (F.col("seq") == place.seq)).select("data").first()
+    return Segment(segment.data).token(place.at + position)
+
+
+def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, position, token_id for each distinct doc_id and position of `wanted`; other columns end here.
+
+    Documents that share a doc_id each answer. A segment goes to as many tasks as its lookups fill; none decodes it.
+    """
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position")).distinct()
+    found = asked.join(_places(spark, path), "doc_id").where("position >= 0 AND position < n").select("doc_id", "position", "part", "seq", (F.col("at") + F.col("position")).alias("i"))
+    shares = found.groupBy("part", "seq").agg(F.ceil(F.count("*") / LOOKUPS).alias("shares"))
+    dealt = found.join(shares, ["part", "seq"]).withColumn("share", F.pmod(F.xxhash64("i"), "shares"))
+    split = shares.select(F.col("part").alias("p"), F.col("seq").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("of"))
+    data = spark.read.schema(SEGMENTS).parquet(path).select(F.col("part").alias("p"), F.col("seq").alias("s"), "data").join(split, ["p", "s"])
+
+    def look(lookups: pa.Table, segments: pa.Table) -> pa.Table:
+        s = Segment(segments["data"][0].as_py()) if lookups.num_rows else None
+        return pa.table({"doc_id": lookups["doc_id"], "position": lookups["position"], "token_id": pa.array([s.token(i) for i in lookups["i"].to_pylist()], pa.int64())})
+
+    return dealt.groupBy("part", "seq", "share").cogroup(data.groupBy("p", "s", "of")).applyInArrow(look, "doc_id long, position long, token_id long")

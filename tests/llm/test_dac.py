@@ -4,13 +4,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.dac import Segment, pack, read_token_file, write_token_file
+from tessera.llm.dac import Segment, pack, read_token_file, token_at, tokens_at, write_token_file
 from tessera.llm.wordbpe import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -56,9 +58,33 @@ def test_file_round_trip(spark, documents, tmp_path):
     for r, (doc_id, text) in zip(got, rows, strict=True):
         ids = [*whole.encode(text, add_special_tokens=False).ids, 1]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert r.middle_id == ids[len(ids) // 2]
         start += len(ids)
 
 
+def test_tokens_are_found_in_the_file(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr("tessera.llm.dac.LOOKUPS", 7)
+    path = str(tmp_path / "f")
+    docs = documents([(i, t) for i, t in enumerate(TEXTS)])
+    write_token_file(docs, path, PATH, segment_tokens=50, partitions=3)
+    whole = Tokenizer.from_file(PATH)
+    by_id: dict = {}
+    for r in docs.collect():
+        by_id.setdefault(r.doc_id, []).append([*whole.encode(r.text or "", add_special_tokens=False).ids, 1])
+    asked = [(d, i) for d, each in by_id.items() for i in range(-1, max(map(len, each)) + 1, 3)] + [(0, 0)] * 40 + [(None, 0), (0, None), (10**9, 0)]
+    got = tokens_at(spark, path, spark.createDataFrame(asked, "doc_id long, position long").withColumn("data", F.lit(1))).collect()
+    expected = [(d, i, ids[i]) for d, i in set(asked) if d is not None and i is not None for ids in by_id.get(d, []) if 0 <= i < len(ids)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    one = next(d for d, each in by_id.items() if d is not None and len(each) == 1 and len(each[0]) > 3)
+    assert token_at(spark, path, one, 2) == by_id[one][0][2]
+    with pytest.raises(IndexError):
+        token_at(spark, path, one, len(by_id[one][0]))
+    for f in (tmp_path / "f").glob("*.parquet"):
+        meta = pq.read_metadata(f)
+        assert all(meta.row_group(g).num_rows == 1 for g in range(meta.num_row_groups))
+        assert not meta.num_row_groups or meta.row_group(0).column(meta.num_columns - 1).compression == "UNCOMPRESSED"
+
+
 def test_empty_table(spark, documents, tmp_path):
     write_token_file(documents(edges=False), str(tmp_path / "f"), PATH)
     assert read_token_file(spark, str(tmp_path / "f")).count() == 0
