@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm.blocktopk import search_tile, top_k
+from tessera.llm.blocktopk import search_tile, top_k, visits
 
 
 def brute(rows, k=5):
@@ -29,7 +29,7 @@ def test_against_brute_force(spark):
     rows += [(900, None), (901, [None, *rows[0][1][1:]]), (950, [float("nan")] * 16), (951, [float("inf")] * 16), (952, []), (1000, [0.5] * 4), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"n": F.lit(1), "score": F.lit("x"), "d": F.lit(2)})
     expected = brute(rows)
-    assert run(df, block=16, query_tile=1, doc_tile=3) == expected and run(df) == expected
+    assert run(df, block=16, query_tile=1, doc_tile=3, summary_tile=7) == expected and run(df) == expected
 
 
 def test_few_rows_and_empty_table(spark):
@@ -48,3 +48,14 @@ def test_blocks_are_pruned():
     found, pruned = search_tile([q], blocks, 5)
     scores = sorted(((-int(d @ q[1][0]), int(i)) for ids, m, _, _ in blocks for i, d in zip(ids, m, strict=True)))[:5]
     assert [(s, i) for _, i, s in found] == [(-s, i) for s, i in scores] and pruned >= 15
+
+
+def test_forward_indexes_of_pruned_blocks_stay(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 1, (40, 8))
+    rows = [(i, (centres[i // 50] + rng.normal(0, 0.01, 8)).tolist()) for i in range(2000)]  # ids in order of likeness
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert run(df, block=50, query_tile=1, doc_tile=2, summary_tile=8) == brute(rows)
+    every, left = visits(df, F.col("vec_id") % 50 == 0, block=50, query_tile=1, doc_tile=2, summary_tile=8)
+    assert every == 40 * 40 and left < every / 4
