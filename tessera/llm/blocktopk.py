@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import counted, materialise
 
 _BLOCK = "block_no long, n int, dims int, ids binary, forward binary, top binary, low binary"
 
@@ -191,9 +191,8 @@ def _search(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_co
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & whole).select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("terms"))
     ordered = lambda t: t.repartitionByRange("vec_id").sortWithinPartitions("vec_id", "terms").mapInArrow(_pack(block), _BLOCK)
-    docs, asked = materialise(ordered(rows), "topk-blocks"), materialise(ordered(rows.where(is_query)), "topk-queries")
-    n_blocks, n_asked = docs.count(), -(-asked.count() // query_tile) or 1
-    n_docs, n_sums = -(-n_blocks // doc_tile) or 1, -(-n_blocks // summary_tile) or 1
+    (docs, n_blocks), (asked, n_asked) = counted(ordered(rows), "topk-blocks"), counted(ordered(rows.where(is_query)), "topk-queries")
+    n_asked, n_docs, n_sums = (-(-n // size) or 1 for n, size in ((n_asked, query_tile), (n_blocks, doc_tile), (n_blocks, summary_tile)))
     at = lambda n, c="block_no": F.pmod(F.xxhash64(c), F.lit(n))
     grid = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     met = lambda left, right: left.groupBy("d", "q").cogroup(right.groupBy("d", "q"))
